@@ -209,7 +209,7 @@ def judge(text: str | None, model: Model, margin: float = SENTENCE_MARGIN, famil
 
 def _judged(source: DataFrame, model: Model) -> DataFrame:
     """Of columns doc and text: doc, segment_no, lang, confidence and main, the language of the whole text."""
-    schema = source.select("doc").schema.add("segment_no", "int").add("lang", "string").add("confidence", "double").add("main", "string")
+    schema = source.select("doc").schema.add("segment_no", "integer").add("lang", "string").add("confidence", "double").add("main", "string")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

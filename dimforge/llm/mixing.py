@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +69,25 @@ def largest_total(targets: list[tuple[str, float, int]], available: dict[str, fl
     return min((available[s] * r * weight / w for s, w, r in live), default=0.0)
 
 
+def fit_edge(bucket: pd.DataFrame) -> pd.DataFrame:
+    """Of the bucket in which a leaf's budget ends, the documents in seeded order that still fit.
+
+    One that is too long for the room left is passed over; last, the shortest of those is taken if that
+    comes closer to the budget than leaving the room empty.
+    """
+    rows = bucket.sort_values(["h", "doc_id"], kind="stable")
+    room, taken, short = float(rows["room"].iloc[0]), [], None
+    for i, n in zip(rows.index, rows["n_tokens"].tolist()):
+        if n <= room:
+            taken.append(i)
+            room -= n
+        elif short is None or n < short[1]:
+            short = (i, n)
+    if short is not None and short[1] - room < room:
+        taken.append(short[0])
+    return rows.loc[taken]
+
+
 def mix(documents: DataFrame, targets: DataFrame, *, doc_id: str, source: str, language: str, size: str, mix_name: str = "mix_name", share: str = "target_share", repeats: str = "max_repeats", total: float | None = None, seed: int = 7) -> DataFrame:
     """The documents of every mix: `mix_name`, `source`, `doc_id`, `epoch` (which repetition, from 1), `n_tokens`.
 
@@ -75,7 +95,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, doc_id: str, source: str, l
     a `language` code or null; `targets` the share and largest number of repeats of each source in
     each mix. A mix is `total` tokens large, by default as large as it can be with every source that
     has texts at its share. No document is in a mix more often than its source's repeats allow. Only
-    whole documents are taken, so a leaf's budget is met to within half a document. Documents of size 0 or of sources
+    whole documents are taken, so a leaf's budget is met to within half a short document. Documents of size 0 or of sources
     in no mix aren't taken, sources without documents give nothing, and repeated rows of `targets` count as one with
     their shares added.
     """
@@ -122,7 +142,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, doc_id: str, source: str, l
     whole = drawn.where("full > 0").select("mix", "source", "doc_id", F.explode(F.sequence(F.lit(1), F.col("full"))).alias("epoch"), "n_tokens")
 
     place = F.xxhash64(F.lit(seed), F.col("mix"), F.col("full"), F.col("doc_id")).bitwiseAND(F.lit(2**63 - 1))
-    order = drawn.where("rest > 0").withColumn("h", place).withColumn("bucket", F.floor(F.col("h") / step) if buckets == 1 else F.expr(f"h div {step}"))
+    order = drawn.where("rest > 0").withColumn("h", place).withColumn("bucket", F.lit(0).cast("long") if buckets == 1 else F.expr(f"h div {step}"))
     key = ["mix", "source", "language"]
     sums = order.groupBy(*key, "bucket", "rest").agg(F.sum("n_tokens").alias("t"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -131,9 +151,8 @@ def mix(documents: DataFrame, targets: DataFrame, *, doc_id: str, source: str, l
     ends = F.broadcast(ends.select(*key, F.col("bucket").alias("end"), "before"))
     placed = order.join(ends, key, "left")
     inside = placed.where(F.col("end").isNull() | (F.col("bucket") < F.col("end")))
-    w = Window.partitionBy(*key).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    edge = placed.where(F.col("bucket") == F.col("end")).withColumn("so_far", F.col("before") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
-    edge = edge.where(F.col("so_far") + F.col("n_tokens") / 2 <= F.col("rest"))
+    edge = placed.where(F.col("bucket") == F.col("end")).select(*key, "doc_id", "h", "full", (F.col("rest") - F.col("before")).alias("room"), "n_tokens")
+    edge = edge.groupBy(*key).applyInPandas(fit_edge, edge.schema)
     cols = ["mix", "source", "doc_id", (F.col("full") + 1).alias("epoch"), "n_tokens"]
     return whole.unionByName(inside.select(*cols)).unionByName(edge.select(*cols)).select(F.col("mix").alias("mix_name"), "source", "doc_id", F.col("epoch").cast("int").alias("epoch"), "n_tokens")
 
