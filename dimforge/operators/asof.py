@@ -64,9 +64,12 @@ def known_at(events: DataFrame, history: DataFrame, *, entity: str, time: str, h
     changes = parts[0]
     for p in parts[1:]:
         changes = changes.unionByName(p, allowMissingColumns=True)
+    # Dealt out once; the maxima, the buckets wanted and the matching below all read these exchanges.
+    changes = changes.repartition("e", "b")
     body = F.struct(*[col(c) for c in events.columns])
     timed = events.where(col(entity).isNotNull() & col(time).isNotNull())
     moments = timed.select(col(entity).alias("e"), micros(events, time).alias("at"), body.alias("event")).withColumn("b", F.floor(F.col("at") / bucket_us))
+    moments = moments.repartition("e", "b")
 
     # What each bucket with events takes over from the entity's earlier buckets.
     maxima = changes.groupBy("e", "b").agg(*[F.max(c).alias(c) for c in names], F.lit(False).alias("wanted"))
@@ -74,7 +77,7 @@ def known_at(events: DataFrame, history: DataFrame, *, entity: str, time: str, h
     earlier = Window.partitionBy("e").orderBy("b").rangeBetween(Window.unboundedPreceding, -1)
     carried = maxima.unionByName(wanted, allowMissingColumns=True).select("e", "b", "wanted", *[F.max(c).over(earlier).alias(c) for c in names])
     carried = carried.where(F.col("wanted") & F.expr(" or ".join(f"{c} is not null" for c in names)))
-    carried = carried.select("e", "b", (F.col("b") * bucket_us).alias("at"), *names)
+    carried = carried.select("e", "b", (F.col("b") * bucket_us).alias("at"), *names).repartition("e", "b")
 
     rows = changes.unionByName(carried).unionByName(moments, allowMissingColumns=True)
     so_far = Window.partitionBy("e", "b").orderBy("at", F.col("event").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
