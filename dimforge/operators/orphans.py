@@ -1,7 +1,7 @@
 """References to records that don't exist, or came later than what refers to them.
 
-A Bloom filter of the parent keys is built where they are, combined word by word and broadcast as one
-value of bounded size. A reference whose bits aren't all set is a definite orphan and goes no
+A Bloom filter of the parent keys is built where they are, combined word by word and broadcast, its
+size bounded. A reference whose bits aren't all set is a definite orphan and goes no
 further; only the rest are looked up by an exact join. The filter never decides that a parent exists,
 so its size affects cost, not results.
 """
@@ -15,15 +15,25 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dimforge.functions.names import col, require
+from dimforge.functions.names import col, free, require
 
 HASHES = 5
 #: Upper bound of a filter: 4 Mi words are 32 MB, good for some 27 million keys at one false positive in a hundred.
 MAX_WORDS = 1 << 22
 
 
-def _positions(c: Column, bits: int) -> list[Column]:
-    """Bit numbers of a key, by double hashing."""
+BITS_PER_KEY = 10
+#: Words of a block; some 1600 keys share one.
+BLOCK_WORDS = 256
+
+
+def _block(c: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(c, F.lit(2)), F.lit(blocks)).cast("int")
+
+
+def _positions(c: Column) -> list[Column]:
+    """Bit numbers of a key within its block, by double hashing."""
+    bits = BLOCK_WORDS * 64
     h = F.pmod(F.xxhash64(c), F.lit(bits))
     g = F.pmod(F.xxhash64(c, F.lit(1)), F.lit(bits - 1)) + 1
     return [F.pmod(h + g * i, F.lit(bits)) for i in range(HASHES)]
@@ -31,30 +41,41 @@ def _positions(c: Column, bits: int) -> list[Column]:
 
 @dataclass(frozen=True)
 class Bloom:
-    """A filter over `words` 64-bit words; `value` is a scalar subquery that gives them as an array."""
+    """A filter cut into blocks, one row each (`block`, `words`), to be broadcast; a key's bits are all in one block."""
 
-    words: int
-    value: Column
+    blocks: int
+    rows: DataFrame
 
-    def maybe(self, c: Column) -> Column:
-        """False: `c` is certainly not among the keys. Null for null."""
+    def test(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """`df` with boolean `name`: false where `key` is certainly not among the keys. Rows with a null key are lost."""
+        block, words = free([*df.columns, name], "__block", "__words")
+        found = df.withColumn(block, _block(col(key), self.blocks))
+        # At most MAX_WORDS words in all: that bounds the broadcast.
+        found = found.join(F.broadcast(self.rows.withColumnsRenamed({"block": block, "words": words})), block)
         out = F.lit(True)
-        for p in _positions(c, self.words * 64):
-            word = F.get(self.value, F.call_function("shiftright", p, F.lit(6)).cast("int"))
+        for p in _positions(col(key)):
+            word = F.get(F.col(words), F.call_function("shiftright", p, F.lit(6)).cast("int"))
             out = out & (F.call_function("shiftright", word, F.pmod(p, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1)
-        return F.when(c.isNotNull(), out)
+        return found.select(*[col(c) for c in df.columns], out.alias(name))
 
 
 def bloom(keys: DataFrame, key: str, expected: int | None = None, max_words: int = MAX_WORDS) -> Bloom:
-    """A filter of column `key`, sized for `expected` keys (counted if not given; Parquet knows) up to `max_words`."""
+    """A filter of column `key`, sized for `expected` keys (counted if not given; Parquet knows) up to `max_words`.
+
+    Every block is built where its keys meet, and bits are combined before the shuffle.
+    """
     n = max(1, keys.count() if expected is None else expected)
-    words = min(max_words, 1 << max(0, math.ceil(math.log2(n * 10 / 64))))
-    spots = keys.where(col(key).isNotNull()).select(F.explode(F.array(*_positions(col(key), words * 64))).alias("p"))
-    set_bits = spots.select(F.call_function("shiftright", F.col("p"), F.lit(6)).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int")).alias("b"))
-    blank = keys.sparkSession.range(words).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
-    each = set_bits.unionByName(blank).groupBy("w").agg(F.bit_or("b").alias("b"))
-    value = each.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words"))
-    return Bloom(words, value.scalar())
+    blocks = max(1, math.ceil(min(max_words, n * BITS_PER_KEY / 64) / BLOCK_WORDS))
+    c = col(key)
+    spots = keys.where(c.isNotNull()).select(_block(c, blocks).alias("block"), F.explode(F.array(*_positions(c))).alias("p"))
+    set_bits = spots.select("block", F.call_function("shiftright", F.col("p"), F.lit(6)).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int")).alias("b"))
+    one = set_bits.groupBy("block", "w").agg(F.bit_or("b").alias("b"))
+    by_word = one.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))
+    every = keys.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))
+    zero = F.lit(0).cast("long")
+    words = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_WORDS - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), zero))
+    filled = every.join(by_word, "block", "left").select("block", F.when(F.col("m").isNull(), F.array_repeat(zero, BLOCK_WORDS)).otherwise(words).alias("words"))
+    return Bloom(blocks, filled)
 
 
 def text_key(c: Column) -> Column:
@@ -77,7 +98,7 @@ def find(refs: DataFrame, *, ref: str, keep: Sequence[str], parents: DataFrame,
     r = r.where(F.col("__ref").isNotNull() & (F.col("__ref") != "" if text else F.lit(True)))
     keys = parents.select(norm(col(parent_key)).alias("__key"), (col(parent_changed) if parent_changed else F.lit(None).cast("timestamp_ntz")).alias("__since")).where("__key is not null")
     f = bloom(keys, "__key", expected)
-    tested = r.withColumn("__maybe", f.maybe(F.col("__ref")))
+    tested = f.test(r, "__ref", "__maybe")
     definite = tested.where(~F.col("__maybe")).select(*[col(k) for k in keep], F.lit("missing").alias("kind"))
     one = keys.groupBy("__key").agg(F.min("__since").alias("__since"))
     checked = tested.where(F.col("__maybe")).join(one, F.col("__ref") == F.col("__key"), "left")
