@@ -61,14 +61,14 @@ def diff_snapshots(snapshots: DataFrame, keys: Sequence[str], number: str, attri
     )
 
 
-def _bucketed(df: DataFrame, keys: Sequence[str], at: str, tie: Sequence[Column], bucket: str, place: str, following: str | None = None) -> DataFrame:
-    """Add `place`, the row's number within its `keys` by `at`; and `following`, the next row's `at`.
+def _bucketed(df: DataFrame, keys: Sequence[str], at: str, tie: Sequence[Column], bucket: str, place: str, following: str | None = None, rank: bool = False) -> DataFrame:
+    """Add `place`, the row's number (with `rank`, its rank) within its `keys` by `at`; and `following`, the next row's `at`.
 
     Counted within (keys, bucket), then moved on by what the entity's earlier buckets hold.
     """
     local, base, after = free(df.columns, "__local", "__base", "__after")
     inner = Window.partitionBy(*[col(k) for k in keys], col(bucket)).orderBy(col(at), *tie)
-    counted = df.withColumn(local, F.row_number().over(inner))
+    counted = df.withColumn(local, (F.rank() if rank else F.row_number()).over(inner))
     if following:
         counted = counted.withColumn(following, F.lead(col(at)).over(inner))
     names = [f"__k{i}" for i in range(len(keys))]
