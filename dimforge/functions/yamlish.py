@@ -38,9 +38,9 @@ def mapping(text: str) -> dict | None:
 
 
 def _scalar(v: str):
-    if v[:1] in "{[":
+    if v.startswith(("{", "[")):
         return json.loads(v)
-    if v[:1] in "\"'":
+    if v.startswith(('"', "'")):
         if len(v) < 2 or v[-1] != v[0]:
             raise ValueError(v)
         return json.loads(v) if v[0] == '"' else v[1:-1].replace("''", "'")
