@@ -103,6 +103,8 @@ def pack(items: DataFrame, containers: list[tuple[str, int]], *, item: str, size
     shards = max(1, -(-n // shard_items))
     rows = items.select(col(item).cast("long").alias("item"), col(size).cast("long").alias("size")).where("item is not null and size is not null")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)))
+    # A given number of partitions isn't coalesced: items are few bytes, but packing them takes time.
+    rows = rows.repartition(min(shards, 4096), "shard")
     kinds = tuple(containers)
 
     def work(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
