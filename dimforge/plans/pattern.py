@@ -74,8 +74,9 @@ class Pattern:
 
     @cached_property
     def regex(self) -> str:
-        """Unnamed groups, so that Java's and Python's engines both take it."""
-        return "^" + "".join("(.*?)" if p == "*" else f"({TOKENS[p][0]})" if p in TOKENS else re.escape(p).replace(r"\-", "-") for p in self.parts) + "(.*)$"
+        """Unnamed groups, so that Java's and Python's engines both take it; a wildcard at the end takes the rest."""
+        last = len(self.parts) - 1
+        return "^" + "".join(("(.*)" if i == last else "(.*?)") if p == "*" else f"({TOKENS[p][0]})" if p in TOKENS else re.escape(p).replace(r"\-", "-") for i, p in enumerate(self.parts)) + "(.*)$"
 
     @cached_property
     def _compiled(self) -> re.Pattern:

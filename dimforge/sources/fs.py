@@ -29,6 +29,7 @@ def _plain(path: str) -> str:
 
 
 def _minute(ms: int) -> int:
+    """Seconds since 1970 at the beginning of the minute."""
     return ms // 60_000 * 60
 
 
