@@ -79,7 +79,10 @@ def stat(spark: SparkSession, path: str) -> Stat | None:
 
 
 def listing(spark: SparkSession, *roots: str) -> DataFrame:
-    """All files below `roots` as a DataFrame (path, mtime, size), listed by Spark's own parallel file index."""
+    """All files below `roots` as a DataFrame (path, mtime, size), listed by Spark's own parallel file index.
+
+    Contents aren't read. Empty files hold nothing to process and aren't listed; :func:`glob_stat` sees them.
+    """
     have = [r for r in roots if exists(spark, r)]
     if not have:
         return spark.createDataFrame([], "path string, mtime timestamp, size bigint")
