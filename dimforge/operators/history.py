@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dimforge.functions.merge import comparable
 from dimforge.functions.names import col, free, require
 
 
@@ -44,20 +45,22 @@ def diff_snapshots(snapshots: DataFrame, keys: Sequence[str], number: str, attri
     """
     require(snapshots, *keys, number, *attributes)
     extra = [c for c in snapshots.columns if c not in keys and c != number]
-    here = snapshots.select(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)], col(number).cast("long").alias("n"), F.struct(*[col(c) for c in extra]).alias("now"))
-    before = snapshots.select(*[col(k).alias(f"p{i}") for i, k in enumerate(keys)], (col(number).cast("long") + 1).alias("pn"), F.struct(*[col(c) for c in extra]).alias("was"))
-    on = _same([F.col(f"k{i}") for i in range(len(keys))], [F.col(f"p{i}") for i in range(len(keys))]) & (F.col("n") == F.col("pn"))
+    # The earlier side carries what is compared, and all of it only where a deleted row can come out.
+    carried = extra if last is not None else list(dict.fromkeys(attributes))
+    ks, ps = [f"k{i}" for i in range(len(keys))], [f"p{i}" for i in range(len(keys))]
+    now, was = {c: f"now{i}" for i, c in enumerate(extra)}, {c: f"was{i}" for i, c in enumerate(carried)}
+    at = col(number).cast("long")
+    here = snapshots.select(*[col(k).alias(n) for k, n in zip(keys, ks)], at.alias("n"), *[col(c).alias(n) for c, n in now.items()])
+    before = snapshots.select(*[col(k).alias(n) for k, n in zip(keys, ps)], (at + 1).alias("pn"), *[col(c).alias(n) for c, n in was.items()])
+    on = _same([F.col(k) for k in ks], [F.col(p) for p in ps]) & (F.col("n") == F.col("pn"))
     j = here.join(before, on, "full_outer")
-    same = _same([F.col("now")[a] for a in attributes], [F.col("was")[a] for a in attributes])
-    event = F.when(F.col("n").isNull(), "deleted").when(F.col("pn").isNull(), "inserted").when(same, "unchanged").otherwise("changed")
-    j = j.withColumn("event", event)
-    if last is None:
-        j = j.where("event <> 'deleted'")
-    else:
-        j = j.where((F.col("event") != "deleted") | (F.col("pn") <= last))
+    gone, new = F.col("n").isNull(), F.col("pn").isNull()
+    same = _same([F.col(now[a]) for a in attributes], [F.col(was[a]) for a in attributes])
+    j = j.withColumn("event", F.when(gone, "deleted").when(new, "inserted").when(same, "unchanged").otherwise("changed"))
+    j = j.where(~gone) if last is None else j.where(~gone | (F.col("pn") <= last))
     return j.select(
-        *[F.coalesce(F.col(f"k{i}"), F.col(f"p{i}")).alias(k) for i, k in enumerate(keys)],
-        F.coalesce("n", "pn").alias(number), "event", *[F.when(F.col("n").isNull(), F.col("was")[c]).otherwise(F.col("now")[c]).alias(c) for c in extra],
+        *[F.coalesce(F.col(n), F.col(p)).alias(k) for k, n, p in zip(keys, ks, ps)], F.coalesce("n", "pn").alias(number), "event",
+        *[(F.when(gone, F.col(was[c])).otherwise(F.col(now[c])) if last is not None else F.col(now[c])).alias(c) for c in extra],
     )
 
 
@@ -106,6 +109,10 @@ def versions(observed: DataFrame, *, keys: Sequence[str], at: str, newest: Seque
             (c,) = free(rows.columns, f"__{a}")
             rows = rows.withColumn(c, canonical_json(col(a)))
             compared.append(c)
+        elif dict(data.dtypes)[a].startswith("map<"):
+            (c,) = free(rows.columns, f"__{a}")
+            rows = rows.withColumn(c, comparable(col(a)))
+            compared.append(c)
         else:
             compared.append(a)
     # Same clustering as the counting below: one shuffle serves both.

@@ -58,3 +58,10 @@ def test_events_between_snapshots(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (2, 1, None), (2, 2, None), (None, 3, "z")], "k int, n int, v string")
     got = sorted((str(r.k), r.n, r.event) for r in history.diff_snapshots(df, ["k"], "n", ["v"], F.lit(3)).collect())
     assert got == [("1", 1, "inserted"), ("1", 2, "unchanged"), ("1", 3, "changed"), ("2", 1, "inserted"), ("2", 2, "unchanged"), ("2", 3, "deleted"), ("None", 3, "inserted")]
+
+
+def test_map_attribute(spark):
+    rows = [(1, 1, T0 + timedelta(days=i), T0, i, m) for i, m in enumerate([{"a": "1", "b": "2"}, {"b": "2", "a": "1"}, {"a": "1"}, None])]
+    df = spark.createDataFrame(rows, "tenant int, uid long, start_at timestamp_ntz, seen timestamp_ntz, id long, m map<string,string>")
+    got = history.versions(df, keys=["tenant", "uid"], at="start_at", newest=["seen", "id"], attributes=["m"])
+    assert sorted((r.version, r.id) for r in got.collect()) == [(1, 0), (2, 2), (3, 3)]
