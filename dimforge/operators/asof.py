@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dimforge.functions.merge import comparable
 from dimforge.functions.names import col, require
 
 DAY_US = 86_400_000_000
@@ -31,6 +32,10 @@ def micros(df: DataFrame, name: str):
     return col(name).cast("long")
 
 
+def _is_map(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.MapType)
+
+
 def attribute_history(history: DataFrame, entity: str, valid_from: str, known_from: str, tie: str, attribute: str) -> DataFrame:
     """The change history of one attribute: `e`, `at` (when it could be known, microseconds) and `change` (rank and value).
 
@@ -38,7 +43,8 @@ def attribute_history(history: DataFrame, entity: str, valid_from: str, known_fr
     value is a value.
     """
     since, seen = micros(history, valid_from), micros(history, known_from)
-    rank = F.struct(since.alias("since"), seen.alias("seen"), col(tie).alias("tie"), col(attribute).alias("value"))
+    value = comparable(col(attribute)) if _is_map(history, attribute) else col(attribute)
+    rank = F.struct(since.alias("since"), seen.alias("seen"), col(tie).alias("tie"), value.alias("value"))
     usable = history.where(col(entity).isNotNull() & col(valid_from).isNotNull() & col(known_from).isNotNull())
     return usable.select(col(entity).alias("e"), F.greatest(since, seen).alias("at"), rank.alias("change"))
 
@@ -82,6 +88,6 @@ def known_at(events: DataFrame, history: DataFrame, *, entity: str, time: str, h
     rows = changes.unionByName(carried).unionByName(moments, allowMissingColumns=True)
     so_far = Window.partitionBy("e", "b").orderBy("at", F.col("event").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     matched = rows.select("event", *[F.max(c).over(so_far).alias(c) for c in names]).where(F.col("event").isNotNull())
-    found = matched.select(*[F.col("event")[c].alias(c) for c in events.columns], *[F.col(c)["value"].alias(o) for c, o in zip(names, outs)])
+    found = matched.select(*[F.col("event")[c].alias(c) for c in events.columns], *[(F.map_from_entries(F.col(c)["value"]) if _is_map(history, a) else F.col(c)["value"]).alias(o) for c, o, a in zip(names, outs, attributes)])
     untimed = events.where(col(entity).isNull() | col(time).isNull())
     return found.unionByName(untimed.select("*", *[F.lit(None).cast(history.schema[a].dataType).alias(o) for a, o in zip(attributes, outs)]))

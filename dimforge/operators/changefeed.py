@@ -36,8 +36,12 @@ def assemble(deliveries: DataFrame, change: Sequence[str], newest: Sequence[str]
     require(deliveries, *change, *newest)
     rest = [c for c in deliveries.columns if c not in change and c not in newest]
     (best,) = free(deliveries.columns, "__best")
-    packed = F.struct(*[col(c) for c in [*newest, *rest]])
-    got = deliveries.groupBy(*[col(c) for c in change]).agg(F.max(packed).alias(best))
+    carried = F.struct(*[col(c) for c in [*newest, *rest]])
+    kinds = dict(deliveries.dtypes)
+    # Maps have no order; they are carried along, but don't decide.
+    ordered = [c for c in [*newest, *rest] if "map<" not in kinds[c] and "variant" not in kinds[c]]
+    one = F.max(carried) if len(ordered) == len(newest) + len(rest) else F.max_by(carried, F.struct(*[col(c) for c in ordered]))
+    got = deliveries.groupBy(*[col(c) for c in change]).agg(one.alias(best))
     return got.select(*[col(c) if c in change else F.col(best)[c].alias(c) for c in deliveries.columns])
 
 

@@ -93,16 +93,19 @@ def find(refs: DataFrame, *, ref: str, keep: Sequence[str], parents: DataFrame,
     """
     require(refs, ref, *keep)
     require(parents, parent_key)
+    if "kind" in keep:
+        raise ValueError("`kind` is a result column")
     norm = text_key if text else (lambda c: c)
-    r = refs.select(*[col(k) for k in keep], norm(col(ref)).alias("__ref"), (col(changed) if changed else F.lit(None).cast("timestamp_ntz")).alias("__changed"))
-    r = r.where(F.col("__ref").isNotNull() & (F.col("__ref") != "" if text else F.lit(True)))
-    keys = parents.select(norm(col(parent_key)).alias("__key"), (col(parent_changed) if parent_changed else F.lit(None).cast("timestamp_ntz")).alias("__since")).where("__key is not null")
-    f = bloom(keys, "__key", expected)
-    tested = f.test(r, "__ref", "__maybe")
-    definite = tested.where(~F.col("__maybe")).select(*[col(k) for k in keep], F.lit("missing").alias("kind"))
-    one = keys.groupBy("__key").agg(F.min("__since").alias("__since"))
-    checked = tested.where(F.col("__maybe")).join(one, F.col("__ref") == F.col("__key"), "left")
-    kind = F.when(F.col("__key").isNull(), "missing").when(F.col("__since") > F.col("__changed"), "late")
+    key, at, parent, since, maybe = free(keep, "__ref", "__changed", "__key", "__since", "__maybe")
+    none = F.lit(None).cast("timestamp_ntz")
+    r = refs.select(*[col(k) for k in keep], norm(col(ref)).alias(key), (col(changed) if changed else none).alias(at))
+    r = r.where(F.col(key).isNotNull() & (F.col(key) != "" if text else F.lit(True)))
+    keys = parents.select(norm(col(parent_key)).alias(parent), (col(parent_changed) if parent_changed else none).alias(since)).where(F.col(parent).isNotNull())
+    tested = bloom(keys, parent, expected).test(r, key, maybe)
+    definite = tested.where(~F.col(maybe)).select(*[col(k) for k in keep], F.lit("missing").alias("kind"))
+    one = keys.groupBy(parent).agg(F.min(since).alias(since))
+    checked = tested.where(F.col(maybe)).join(one, F.col(key) == F.col(parent), "left")
+    kind = F.when(F.col(parent).isNull(), "missing").when(F.col(since) > F.col(at), "late")
     verified = checked.select(*[col(k) for k in keep], kind.alias("kind")).where("kind is not null")
     return definite.unionByName(verified)
 

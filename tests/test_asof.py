@@ -51,3 +51,9 @@ def test_table(spark, data):
         if own:
             want.add((r.line_id, max(own)[2]))
     assert {tuple(r) for r in p2_found(spark, data).collect()} == want
+
+
+def test_map_attribute(spark):
+    e = spark.createDataFrame([(1, T0 + timedelta(days=3)), (2, T0)], "u long, t timestamp_ntz")
+    h = spark.createDataFrame([(1, T0, T0, 1, {"a": "1"}), (1, T0 + timedelta(days=1), T0, 2, {"a": "2"})], "uid long, start_at timestamp_ntz, seen timestamp_ntz, id long, prefs map<string,string>")
+    assert {r.u: r.known_prefs for r in known_at(e, h, **ARGS, attributes=["prefs"]).collect()} == {1: {"a": "2"}, 2: None}

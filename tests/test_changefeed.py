@@ -78,3 +78,9 @@ def test_watermark(spark):
     assert mark([(7, 1), (8, 1)], first=7) == 8
     held = cf.committed(spark.createDataFrame([(1, 1), (2, 1), (4, 1), (None, 1)], "n long, size int"), "n", "size")
     assert sorted(r.n for r in held.collect()) == [1, 2]
+
+
+def test_maps_are_carried(spark):
+    df = spark.createDataFrame([(1, T0, 1, {"a": "old"}), (1, T0, 2, {"a": "new"}), (2, T0, 1, None)], "t int, start_at timestamp_ntz, seen int, m map<string,string>")
+    got = {r.t: r.m for r in cf.assemble(df, ["t", "start_at"], ["seen"]).collect()}
+    assert got == {1: {"a": "new"}, 2: None}
