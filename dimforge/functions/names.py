@@ -29,6 +29,21 @@ def free(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt out by `keys`, for plans that read it more than once; see :func:`all_columns`."""
+    return df.repartition(*[col(k) for k in keys])
+
+
+def all_columns(df: DataFrame) -> Column:
+    """True for every row, but only known by reading all columns.
+
+    Branches of a plan share an exchange if they ask the same of it. A branch that needs few columns is
+    otherwise pruned below the exchange, becomes another plan, and all that is upstream runs once more.
+    """
+    parts = [F.coalesce(F.size(col(c)), F.lit(0)) if kind.startswith("map<") else col(c) for c, kind in df.dtypes]
+    return F.xxhash64(*parts) >= F.lit(-(2**63))
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

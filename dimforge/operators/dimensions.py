@@ -170,7 +170,7 @@ def relabel(history: DataFrame, *, keys: Sequence[str], start: str = "start_at",
     rest = history.drop(version, end)
     (b,) = free(rest.columns, "__bucket")
     rows = rest.withColumn(b, F.date_trunc("month", col(start)))
-    return _bucketed(rows, keys, start, [], b, version, end, rank=True).drop(b)
+    return _bucketed(rows, keys, start, [], b, version, end, rank=True, share=True).drop(b)
 
 
 def consolidate(ledger: DataFrame, *, keys: Sequence[str], attributes: Sequence[str], required: Sequence[str] = (), defaults: dict[str, Any] | None = None, grain: str = "hourly", start: str = "start_at", delta: str = "delta", uuid: str = "source_uuid", target: DataFrame | None = None) -> DataFrame:

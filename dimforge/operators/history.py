@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dimforge.functions.merge import comparable
-from dimforge.functions.names import col, free, require
+from dimforge.functions.names import all_columns, col, dealt, free, require
 
 
 def canonical_json(c: Column) -> Column:
@@ -64,18 +64,21 @@ def diff_snapshots(snapshots: DataFrame, keys: Sequence[str], number: str, attri
     )
 
 
-def _bucketed(df: DataFrame, keys: Sequence[str], at: str, tie: Sequence[Column], bucket: str, place: str, following: str | None = None, rank: bool = False) -> DataFrame:
+def _bucketed(df: DataFrame, keys: Sequence[str], at: str, tie: Sequence[Column], bucket: str, place: str, following: str | None = None, rank: bool = False, share: bool = False) -> DataFrame:
     """Add `place`, the row's number (with `rank`, its rank) within its `keys` by `at`; and `following`, the next row's `at`.
 
-    Counted within (keys, bucket), then moved on by what the entity's earlier buckets hold.
+    Counted within (keys, bucket), then moved on by what the entity's earlier buckets hold. With `share`
+    what makes `df` runs once, for one more shuffle of it: better if that is more than a few steps.
     """
+    if share:
+        df = dealt(df, *keys, bucket)
     local, base, after = free(df.columns, "__local", "__base", "__after")
     inner = Window.partitionBy(*[col(k) for k in keys], col(bucket)).orderBy(col(at), *tie)
     counted = df.withColumn(local, (F.rank() if rank else F.row_number()).over(inner))
     if following:
         counted = counted.withColumn(following, F.lead(col(at)).over(inner))
     names = [f"__k{i}" for i in range(len(keys))]
-    sums = df.groupBy(*[col(k).alias(n) for k, n in zip(keys, names)], col(bucket).alias("__b")).agg(F.count(F.lit(1)).alias("__n"), F.min(col(at)).alias("__first"))
+    sums = (df.where(all_columns(df)) if share else df).groupBy(*[col(k).alias(n) for k, n in zip(keys, names)], col(bucket).alias("__b")).agg(F.count(F.lit(1)).alias("__n"), F.min(col(at)).alias("__first"))
     outer = Window.partitionBy(*names).orderBy("__b")
     sums = sums.select(*names, "__b", F.coalesce(F.sum("__n").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(base), F.lead("__first").over(outer).alias(after))
     on = _same([*[col(k) for k in keys], col(bucket)], [*[F.col(n) for n in names], F.col("__b")])

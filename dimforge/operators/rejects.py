@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from dimforge.functions import yamlish
 from dimforge.functions.names import col, free, require
 from dimforge.operators import timestamps
+from dimforge.session import spread
 
 _QUOTED = re.compile(r'(^|,)"(?:[^"]|"")*"(?=,|$)')
 _WHOLE = re.compile(r"[+-]?[0-9]+")
@@ -139,7 +140,7 @@ def parse(lines: DataFrame, raw: str, fields: Sequence[Field], *, keep: Sequence
             cols = [pa.array([j[1] for j in rows], pa.string()), *(pa.array([j[2][i] for j in rows], pa.string()) for i in range(len(spec)))]
             yield pa.RecordBatch.from_arrays([*own, *cols], names=[*b.schema.names[:kept], "reason", *names])
 
-    out = source.mapInArrow(work, schema)
+    out = spread(source).mapInArrow(work, schema)
     for f in fields:
         if f.kind == "time":
             ok, us = free(out.columns, "__ok", f"{f.name}_us")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dimforge.functions.merge import map_union
-from dimforge.functions.names import col, free
+from dimforge.functions.names import all_columns, col, dealt, free
 
 
 def null_safe(pairs: Sequence[tuple[Column, Column]]) -> Column:
@@ -30,6 +30,7 @@ def running(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Col
     `before` a row doesn't see itself: the value of the row just before, which then must not be null.
     """
     keys = list(keys)
+    df = dealt(df, *keys, bucket)
     inner = Window.partitionBy(*[col(k) for k in keys], col(bucket)).orderBy(*order)
     frame = inner.rowsBetween(Window.unboundedPreceding, -1) if before else inner.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     whole = inner.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -46,7 +47,7 @@ def running(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Col
     rows = df.select("*", F.row_number().over(inner).alias(n), *[over(k, v, frame).alias(i) for (k, v), i in zip(values.items(), names)], *[over(k, v, whole).alias(e) for (k, v), e in zip(values.items(), ends)])
     ks = [f"__k{i}" for i in range(len(keys))]
     outs = [f"__c{i}" for i in range(len(values))]
-    last = rows.where(F.col(n) == 1).select(*[col(k).alias(a) for k, a in zip(keys, ks)], col(bucket).alias("__b"), *ends)
+    last = rows.where((F.col(n) == 1) & all_columns(df)).select(*[col(k).alias(a) for k, a in zip(keys, ks)], col(bucket).alias("__b"), *ends)
     outer = Window.partitionBy(*ks).orderBy(F.col("__b").desc() if backwards else F.col("__b")).rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select(*ks, "__b", *[over(k, F.col(e), outer).alias(c) for k, e, c in zip(values, ends, outs)])
     j = rows.join(carried, null_safe([*[(col(k), F.col(a)) for k, a in zip(keys, ks)], (col(bucket), F.col("__b"))]), "left")

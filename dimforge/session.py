@@ -41,11 +41,28 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="dimforge-")
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over as many tasks as there are cores, if it is a plain scan of too few splits; else as it is.
+
+    For work that costs far more than moving its input: tokenising, parsing, compressing. A table of
+    more splits than half the cores, which any large one is, isn't touched.
+    """
+    plan = df._jdf.queryExecution().sparkPlan().toString() if hasattr(df, "_jdf") else "Exchange"
+    if any(x in plan for x in ("Exchange", "Join", "Aggregate", "Window", "Sort", "Union", "Limit", "InMemory")):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 
