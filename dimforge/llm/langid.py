@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from dimforge.functions.names import col, require
 from dimforge.llm import prose
+from dimforge.session import spread
 
 # ISO 639 codes and English names of languages with large text corpora.
 LANGUAGES = {
@@ -221,7 +222,7 @@ def _judged(source: DataFrame, model: Model) -> DataFrame:
             cols = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int32(), pa.string(), pa.float64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *cols], names=["doc", "segment_no", "lang", "confidence", "main"])
 
-    return source.mapInArrow(work, schema)
+    return spread(source).mapInArrow(work, schema)
 
 
 def identify(documents: DataFrame, model: Model, *, doc_id: str, text: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dimforge.functions.names import col, require
+from dimforge.session import spread
 
 #: Vocabulary file, as ranks; it must be on every executor.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -40,7 +41,7 @@ def lengths(documents: DataFrame, *, text: str, keep: list[str], vocabulary: str
             sizes = pa.array([len(count(t)) if (t := x.as_py()) else 0 for x in b.column(n)], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), sizes], names=[*keep, "n_tokens"])
 
-    return source.mapInArrow(work, schema)
+    return spread(source).mapInArrow(work, schema)
 
 
 def with_capacity(containers: DataFrame, name: str, capacity: str, most: int = 1000) -> list[tuple[str, int]]:
