@@ -37,10 +37,8 @@ LANGUAGES = {
 _CODES = {x: k for k, v in LANGUAGES.items() for x in (k, *v)}
 
 LEVEL = 1
-#: A text counts as recognised if the best dictionary saves at least this share over the next one,
+#: A text counts as recognised if the best dictionary saves at least this share over the next one.
 SENTENCE_MARGIN = 0.12
-#: and a piece is taken to be in the text's language without trying the others if that dictionary makes it this small.
-FAMILIAR = 0.42
 
 
 def label_code(c: Column) -> Column:
@@ -159,11 +157,12 @@ def _words(s: str) -> list[str]:
     return re.findall(r"[^\W\d_]+", s.lower())
 
 
-def judge(text: str | None, model: Model, margin: float = SENTENCE_MARGIN, familiar: float = FAMILIAR) -> list[tuple[int, str, float]]:
+def judge(text: str | None, model: Model, margin: float = SENTENCE_MARGIN) -> list[tuple[int, str, float]]:
     """(segment, language, confidence) of a text: segment 0 the text, k its k-th piece where that has prose.
 
-    The text's language is that of most of its prose, in characters, and so is a piece's; prose that no
-    dictionary recognises belongs to no language. Confidence is the share of prose in that language
+    The text's language is that of most of its prose, in characters, and so is a piece's. Every sentence
+    is tried with every dictionary; a piece without a recognised sentence is tried whole, and prose that
+    no dictionary recognises belongs to no language. Confidence is the share of prose in that language
     times the margin by which its dictionary wins. No prose: no rows.
     """
     if text is None or not text.strip():
@@ -175,27 +174,22 @@ def judge(text: str | None, model: Model, margin: float = SENTENCE_MARGIN, famil
             found.append((k, ss))
     if not found:
         return []
-    order = dict(model.compressors())
-    guess, _ = model.best(encoded("\n".join(s for _, ss in found for s in ss)))
-    if guess is None:
-        return []
     per_piece: list[tuple[int, Counter, float]] = []
     total: Counter = Counter()
     for k, ss in found:
-        whole = encoded("\n".join(ss))
-        size = len(order[guess].compress(whole)) - 9
         chars: Counter = Counter()
-        if size <= familiar * len(whole):
-            chars[guess] = sum(map(len, ss))
-            sure = 1 - size / max(1, len(whole))
-        else:
-            margins = []
-            for s in ss:
-                lang, m = model.best(encoded(s))
-                if lang is not None and m >= margin:
-                    chars[lang] += len(s)
-                    margins.append(m)
-            sure = sum(margins) / len(margins) if margins else 0.0
+        margins = []
+        for s in ss:
+            lang, m = model.best(encoded(s))
+            if lang is not None and m >= margin:
+                chars[lang] += len(s)
+                margins.append(m)
+        if not chars and len(ss) > 1:
+            lang, m = model.best(encoded("\n".join(ss)))
+            if lang is not None and m >= margin:
+                chars[lang] = sum(map(len, ss))
+                margins.append(m)
+        sure = sum(margins) / len(margins) if margins else 0.0
         if chars:
             per_piece.append((k, chars, sure))
             total.update(chars)

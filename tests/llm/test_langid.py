@@ -50,6 +50,18 @@ def test_held_out_accuracy(spark):
     assert langid.identify(df.limit(0), model, doc_id="doc_id", text="text").count() == 0
 
 
+def test_long_and_repeated_pieces(spark):
+    """A piece in another language than its text is told from it however long or repetitive it is."""
+    df = spark.createDataFrame(corpus(300, 1), "doc_id long, text string, lang string, truth string")
+    model = langid.fit(df, doc_id="doc_id", text="text", label="lang")
+    rnd = random.Random(4)
+    english = [" ".join(sentence(rnd, "en") for _ in range(400)) for _ in range(4)]
+    for foreign in [" ".join(sentence(rnd, "fr") for _ in range(n)) for n in (40, 200, 520)] + [" ".join([sentence(rnd, "fr")] * 40)]:
+        got = langid.judge("\n\n".join([*english[:2], foreign, *english[2:]]), model)
+        assert [(k, x) for k, x, _ in got] == [(0, "en"), (1, "en"), (2, "en"), (3, "fr"), (4, "en"), (5, "en")]
+        assert all(0 < c <= 1 for _, _, c in got)
+
+
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, "Some text that has no label at all.", None)], "doc_id long, text string, lang string")
     model = langid.fit(df, doc_id="doc_id", text="text", label="lang")
