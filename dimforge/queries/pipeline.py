@@ -46,8 +46,8 @@ def _catalog() -> Catalog:
     return c
 
 
-def _loaded(spark: SparkSession, sf: str) -> DataFrame:
-    stage = table(spark, sf, "visits_file_fact_stage").where(F.col("time_key").rlike("^[0-9]{10}$"))
+def _load(spark: SparkSession, sf: str, stage: DataFrame) -> DataFrame:
+    """Facts of stage rows whose time_key is in epoch seconds."""
     rows = stage.select(
         "line_id", F.col("tenant_dimension_tenant_id").alias("tenant.tenant_id"), F.col("tenant_dimension_tenant_id").alias("user.tenant_id"), F.col("user_dimension_user_id").alias("user.user_id"),
         F.col("feature_type_name").alias("feature.name"), F.col("time_key").cast("long").alias("time_key"), "total",
@@ -57,6 +57,29 @@ def _loaded(spark: SparkSession, sf: str) -> DataFrame:
     return load.load_fact(rows, _catalog().w.visits_hourly_fact, members)[0]
 
 
+def _loaded(spark: SparkSession, sf: str) -> DataFrame:
+    """Only the rows with bare epoch seconds, as the SQL has it; :func:`_loaded_all` takes all notations."""
+    return _load(spark, sf, table(spark, sf, "visits_file_fact_stage").where(F.col("time_key").rlike("^[0-9]{10}$")))
+
+
+def _loaded_all(spark: SparkSession, sf: str) -> DataFrame:
+    timed = problems.stage_instants(spark, sf, "user_dimension_user_id", "feature_type_name", "total").where("epoch_us is not null")
+    return _load(spark, sf, timed.withColumn("time_key", F.expr("(epoch_us - pmod(epoch_us, 1000000)) div 1000000")))
+
+
+def _rolled_up(loaded: DataFrame) -> DataFrame:
+    from dimforge.operators import facts
+
+    dated = loaded.withColumn("date_id", F.date_format(F.timestamp_seconds("time_key"), "yyyyMMdd").cast("int"))
+    return facts.rollup(dated, grain="daily", date_key="date_id", keys=["tenant_dimension_id", "feature_type_id"], measures={"total": "sum"})
+
+
+def _denormalized(spark: SparkSession, sf: str, loaded: DataFrame) -> DataFrame:
+    members = {"tenant_dimension": table(spark, sf, "tenant_dimension"), "user_dimension": table(spark, sf, "user_dimension"), "feature_type": table(spark, sf, "feature_type")}
+    flat = load.denormalize(loaded, _catalog().w.visits_hourly_fact, members, order=[], exclude=("user_dimension_tenant_id", "user_dimension_user_id", "time_key", "period"))
+    return flat.select("tenant_dimension_tenant_id", "feature_type_name", "line_id", "total")
+
+
 _LOADED = problems._P5 + """, s as (
   select line_id, tenant_dimension_tenant_id as tn, user_dimension_user_id as us, feature_type_name as ft, cast(time_key as bigint) as tk, make_timestamp(cast(time_key as bigint) * 1000000) as ts, total
   from visits_file_fact_stage where regexp_full_match(time_key, '[0-9]{10}')
@@ -78,18 +101,35 @@ def load_fact_visits(spark, sf):
 
 @query(_LOADED + "select tenant_dimension_id, feature_type_id, cast(strftime(make_timestamp(time_key * 1000000), '%Y%m%d') as integer) as date_id, cast(sum(total) as bigint) as total, time_key - time_key % 86400 as time_key from facts group by 1, 2, 3, 5")
 def load_and_roll_up(spark, sf):
-    from dimforge.operators import facts
-
-    dated = _loaded(spark, sf).withColumn("date_id", F.date_format(F.timestamp_seconds("time_key"), "yyyyMMdd").cast("int"))
-    return facts.rollup(dated, grain="daily", date_key="date_id", keys=["tenant_dimension_id", "feature_type_id"], measures={"total": "sum"})
+    return _rolled_up(_loaded(spark, sf))
 
 
 @query(_LOADED + "select tenant_id as tenant_dimension_tenant_id, f.name as feature_type_name, x.line_id, x.total from facts x left join tenant_dimension t on t.id = x.tenant_dimension_id left join feature_type f on f.id = x.feature_type_id")
 def load_and_denormalize(spark, sf):
-    c = _catalog()
-    members = {"tenant_dimension": table(spark, sf, "tenant_dimension"), "user_dimension": table(spark, sf, "user_dimension"), "feature_type": table(spark, sf, "feature_type")}
-    flat = load.denormalize(_loaded(spark, sf), c.w.visits_hourly_fact, members, order=[], exclude=("user_dimension_tenant_id", "user_dimension_user_id", "time_key", "period"))
-    return flat.select("tenant_dimension_tenant_id", "feature_type_name", "line_id", "total")
+    return _denormalized(spark, sf, _loaded(spark, sf))
+
+
+def load_fact_visits_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of all stage rows whose time can be read, in any notation; :func:`load_rejects` has the others."""
+    return _loaded_all(spark, sf)
+
+
+def load_and_roll_up_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _rolled_up(_loaded_all(spark, sf))
+
+
+def load_and_denormalize_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _denormalized(spark, sf, _loaded_all(spark, sf))
+
+
+def load_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Stage rows that no load takes in: their time can't be read, or is no single instant."""
+    reason = F.when(F.col("readable"), "no single instant").otherwise("unreadable")
+    return problems.stage_instants(spark, sf).where("epoch_us is null").select("line_id", reason.alias("reason"))
+
+
+# Times in all notations have no SQL; tests hold these against plain Python.
+_QUERIES |= {f.__name__: f for f in (load_fact_visits_all, load_and_roll_up_all, load_and_denormalize_all, load_rejects)}
 
 
 @query(
