@@ -179,9 +179,18 @@ def json_lines_scan(spark, sf):
 
 @query("select o_orderkey, case when year(o_orderdate) = 1996 and month(o_orderdate) = 2 then -o_custkey else o_custkey end as o_custkey, 'y' || strftime(o_orderdate, '%Y') || 'm' || strftime(o_orderdate, '%m') as period from orders where year(o_orderdate) = 1996")
 def replace_one_period(spark, sf):
+    """Only orders of 1996, as the SQL has it; :func:`replace_one_period_all` keeps all periods."""
+    return _replaced(spark, table(spark, sf, "orders").where(F.year("o_orderdate") == 1996))
+
+
+@query("select o_orderkey, case when year(o_orderdate) = 1996 and month(o_orderdate) = 2 then -o_custkey else o_custkey end as o_custkey, 'y' || strftime(o_orderdate, '%Y') || 'm' || strftime(o_orderdate, '%m') as period from orders")
+def replace_one_period_all(spark, sf):
+    return _replaced(spark, table(spark, sf, "orders"))
+
+
+def _replaced(spark: SparkSession, orders: DataFrame) -> DataFrame:
     w = Warehouse(spark, _folder(spark))
-    o = table(spark, sf, "orders").where(F.year("o_orderdate") == 1996)
-    o = o.select("o_orderkey", "o_custkey", F.concat(F.lit("y"), F.date_format("o_orderdate", "yyyy"), F.lit("m"), F.date_format("o_orderdate", "MM")).alias("period"))
+    o = orders.select("o_orderkey", "o_custkey", F.concat(F.lit("y"), F.date_format("o_orderdate", "yyyy"), F.lit("m"), F.date_format("o_orderdate", "MM")).alias("period"))
     w.replace_periods("orders", o)
     w.replace_periods("orders", o.where("period = 'y1996m02'").withColumn("o_custkey", -F.col("o_custkey")))
     return w.read("orders").select("o_orderkey", "o_custkey", F.col("period").cast("string").alias("period"))

@@ -53,3 +53,10 @@ def test_all_rows_are_loaded_or_rejected(spark, data):
         for (t, n, line, total), c in flat.items():
             want[t, named[-2] if n is None else n, line, total] += c
     assert Counter((r.tenant_dimension_tenant_id, r.feature_type_name, r.line_id, r.total) for r in pipeline.load_and_denormalize_all(spark, data).collect()) == want
+
+
+def test_all_periods_are_kept_when_one_is_replaced(spark, data):
+    """All orders are written and read back; the SQL of both queries is compared in test_queries."""
+    want = spark.read.parquet(f"{data}/orders.parquet").selectExpr("count(*)", "count(distinct date_trunc('month', o_orderdate))", "count_if(year(o_orderdate) = 1996 and month(o_orderdate) = 2)").first()
+    got = pipeline.replace_one_period_all(spark, data).selectExpr("count(*)", "count(distinct period)", "count_if(o_custkey < 0)").first()
+    assert tuple(got) == tuple(want) and got[1] > 12
