@@ -13,22 +13,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from dimforge.functions.merge import comparable
 from dimforge.functions.names import col, require
 from dimforge.sources import fs
 
 
+def hashable(c: Column, kind: T.DataType) -> Column:
+    """`c` with every map in it, at any depth, as its entries in key order, which can be hashed."""
+    if "map<" not in kind.simpleString():
+        return c
+    if isinstance(kind, T.MapType):
+        return comparable(F.transform_values(c, lambda k, v: hashable(v, kind.valueType)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: hashable(x, kind.elementType))
+    return F.when(c.isNotNull(), F.struct(*[hashable(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+
+
 def list_files(df: DataFrame) -> DataFrame:
     """Files behind `df`: `input_id` (path), `size` in bytes, `rows`, `checksum`.
 
     The checksum is over the rows (sum of their hashes), so any file size is fine, the work is spread
     over the file's splits and combined on the map side. Files without rows don't appear: there is
-    nothing to take in. Maps can't be hashed and are left out of it.
+    nothing to take in. Maps are hashed by their entries in key order.
     """
-    plain = [c for c, kind in df.dtypes if "map<" not in kind]
-    h = F.xxhash64(*[col(c) for c in plain]).cast("decimal(20,0)")
+    h = F.xxhash64(*[hashable(col(f.name), f.dataType) for f in df.schema]).cast("decimal(20,0)")
     m = df.select(F.col("_metadata.file_path").alias("input_id"), F.col("_metadata.file_size").alias("size"), h.alias("h"))
     return m.groupBy("input_id", "size").agg(F.count(F.lit(1)).alias("rows"), F.sum("h").cast("string").alias("checksum"))
 

@@ -61,3 +61,15 @@ def test_checksum_sees_content(spark, tmp_path):
     spark.createDataFrame([(1, "b")], "id int, v string").coalesce(1).write.parquet(f"{tmp_path}/b")
     sums = {r.checksum for r in inc.list_files(spark.read.parquet(f"{tmp_path}/a", f"{tmp_path}/b")).collect()}
     assert len(sums) == 2
+
+
+def test_checksum_sees_maps(spark, tmp_path):
+    kinds = "id int, m map<string,string>, n array<struct<a:int,m:map<string,map<string,int>>>>"
+    rows = [(1, {"k": "a"}, [(1, {"x": {"y": 1}})]), (1, {"k": "b"}, [(1, {"x": {"y": 1}})]), (1, {"k": "a"}, [(1, {"x": {"y": 2}})]), (1, None, [None])]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], kinds).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+    assert len({r.checksum for r in inc.list_files(spark.read.parquet(*[f"{tmp_path}/{i}" for i in range(4)])).collect()}) == 4
+    one, other = ("map('k', 'a', 'l', 'b')", "map('l', 'b', 'k', 'a')")
+    for name, m in (("p", one), ("q", other)):
+        spark.sql(f"select 1 as id, {m} as m").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    assert len({r.checksum for r in inc.list_files(spark.read.parquet(f"{tmp_path}/p", f"{tmp_path}/q")).collect()}) == 1
