@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from dimforge.functions.names import col, free
+
 
 def coalesce_merge(c: Column, w: WindowSpec | None = None) -> Column:
     """The last value that isn't null, over a window in its order."""
@@ -30,6 +34,18 @@ def map_merge(m: Column, order: Column) -> Column:
     return F.aggregate(listed, start, lambda acc, x: map_union(acc, F.map_from_entries(x["m"])))
 
 
+def merge_entries(df: DataFrame, keys: Sequence[str], m: Column, order: Column, name: str) -> DataFrame:
+    """`keys` and, as `name`, what :func:`map_merge` gives for each group, for groups of any size.
+
+    Entries are decided one by one, combined on the map side; only a group's last ones meet in one row.
+    """
+    k, v, o = free([*keys, name], "__k", "__v", "__o")
+    entries = df.select(*[col(x) for x in keys], F.struct(order.alias("o")).alias(o), F.explode_outer(m).alias(k, v))
+    last = entries.groupBy(*[col(x) for x in keys], F.col(k)).agg(F.max_by(v, o).alias(v))
+    listed = F.collect_list(F.when(F.col(k).isNotNull(), F.struct(k, v)))
+    return last.groupBy(*[col(x) for x in keys]).agg(F.map_from_entries(listed).alias(name))
+
+
 def comparable(m: Column) -> Column:
     """A map as something that can be compared and grouped: its entries in key order."""
     return F.array_sort(F.map_entries(m))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dimforge.functions.merge import coalesce_merge, json_to_map, map_merge
+from dimforge.functions.merge import coalesce_merge, json_to_map, merge_entries
 from dimforge.operators import dimensions, facts, mapping
 from dimforge.operators.dimensions import Join, Lookup
 from dimforge.operators.facts import Member
@@ -328,7 +328,7 @@ def map_python_function(spark, sf):
 @query("with x as (select user_id, key, value, event_id from (select user_id, event_id, unnest(json_keys(props)) as key, cast(json_extract(props, '$.k') as varchar) as value from events)) select user_id, key, value from x qualify row_number() over (partition by user_id, key order by event_id desc) = 1")
 def key_value_merge(spark, sf):
     e = table(spark, sf, "events")
-    merged = e.groupBy("user_id").agg(map_merge(json_to_map(F.col("props")), F.col("event_id")).alias("m"))
+    merged = merge_entries(e, ["user_id"], json_to_map(F.col("props")), F.col("event_id"), "m")
     return merged.select("user_id", F.explode("m").alias("key", "value"))
 
 
