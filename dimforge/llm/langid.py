@@ -153,8 +153,12 @@ def dictionaries_of(by: dict[str, list[str]], dictionary_bytes: int, least_sente
     return out
 
 
+_WORD = re.compile(rf"[{prose.HAN}{prose.THAI}]|[^\W\d_]+")
+
+
 def _words(s: str) -> list[str]:
-    return re.findall(r"[^\W\d_]+", s.lower())
+    """Words of `s`; in scripts without blanks between words, letters."""
+    return _WORD.findall(s.lower())
 
 
 def judge(text: str | None, model: Model, margin: float = SENTENCE_MARGIN) -> list[tuple[int, str, float]]:

@@ -13,6 +13,11 @@ _TEMPLATE = re.compile(r"\{\{[^{}]*\}\}|\{\{\{[^{}]*\}\}\}")
 _OPEN = re.compile(r"\{\{.*|^[^\S\n]*\}+", re.M)
 _LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]|\[\S+ ([^\[\]]*)\]")
 _ASIDE = re.compile(r"[«“„]([^«»“”„]*)[»”“]|\([^()]*\)")
+#: Letters of scripts without blanks between words (Han and Kana, Thai), and how many make up about a word.
+HAN, THAI = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff", "\u0e00-\u0e7f"
+_UNSPACED = ((re.compile(f"[{HAN}]"), 2), (re.compile(f"[{THAI}]"), 4))
+_ANY_UNSPACED, _THAI = re.compile(f"[{HAN}{THAI}]"), re.compile(f"[{THAI}]")
+_STOP = re.compile(r"[.!?…。！？]+")
 _END = re.compile(r"[^.!?…。！？\n]+[.!?…。！？]+")
 
 
@@ -45,8 +50,16 @@ def plain(piece: str) -> str:
 
 
 def is_sentence(s: str) -> bool:
-    """Four words or more, not the same few over and over, and mostly letters."""
+    """Four words or more, not the same few over and over, and mostly letters.
+
+    In scripts without blanks between words, two letters of Han or Kana or four of Thai count as a word.
+    """
     words = [w for w in s.split() if len(w) > 1 and (w[0].isalpha() or w[1].isalpha())]
+    if not s.isascii() and _ANY_UNSPACED.search(s):
+        words = [w for w in words if not _ANY_UNSPACED.search(w)]
+        for letters, n in _UNSPACED:
+            run = "".join(letters.findall(s))
+            words += [run[i : i + n] for i in range(0, len(run) - n + 1, n)]
     return len(words) >= 4 and 2 * len(set(words)) > len(words) and 2 * sum(map(len, words)) > len(s)
 
 
@@ -54,7 +67,7 @@ def sentences(piece: str) -> list[str]:
     """The sentences of prose in `piece`: runs that end in a full stop, question or exclamation mark.
 
     A quotation in guillemets or low quotes is a sentence of its own; it may be in another language
-    than what surrounds it.
+    than what surrounds it. Thai has no full stop: there a line's end ends a sentence too.
     """
     t = plain(piece)
     quoted: list[str] = []
@@ -68,4 +81,7 @@ def sentences(piece: str) -> list[str]:
             return m[1]
 
         t = _ASIDE.sub(aside, t)
-    return [s for s in (x.strip() for x in [*_END.findall(t), *quoted]) if is_sentence(s)]
+    ended = _END.findall(t)
+    if not t.isascii() and _THAI.search(t):
+        ended += [x for x in (_STOP.split(line)[-1] for line in t.split("\n")) if _THAI.search(x)]
+    return [s for s in (x.strip() for x in [*ended, *quoted]) if is_sentence(s)]

@@ -62,6 +62,22 @@ def test_long_and_repeated_pieces(spark):
         assert all(0 < c <= 1 for _, _, c in got)
 
 
+def test_scripts_without_spaces(spark):
+    """Chinese, Japanese and Thai have sentences, dictionaries and rows."""
+    base = {
+        "zh": ["这座城市的旧港口在大火之后关闭了很多年。", "住在这里的大多数人今天仍然在海岸工作。", "目前还不清楚农民什么时候第一次来到这个村庄。", "他们每年秋天都会在河边举行盛大的节日。"],
+        "ja": ["この町の古い港は大火のあと長い間閉鎖されていました。", "ここに住んでいる人の多くは今でも海岸で働いています。", "村に最初に農民が住み始めた時期はわかっていません。", "毎年秋になると川のそばで大きな祭りが行われます。"],
+        "th": ["ท่าเรือเก่าของเมืองนี้ปิดไปหลายปีหลังเกิดเพลิงไหม้ครั้งใหญ่", "คนส่วนใหญ่ที่อาศัยอยู่ที่นี่ยังคงทำงานอยู่ริมชายฝั่ง", "ไม่มีใครรู้ว่าชาวนามาตั้งถิ่นฐานในหมู่บ้านนี้เมื่อใด", "ทุกปีในฤดูใบไม้ร่วงพวกเขาจัดงานเทศกาลใหญ่ริมแม่น้ำ"],
+    }
+    rows = [(i, "\n".join(base[k]), k) for i, k in enumerate(k for k in base for _ in range(4))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), doc_id="doc_id", text="text", label="lang", least_sentences=4)
+    assert model.languages == ["ja", "th", "zh"]
+    for k, ss in base.items():
+        assert [(n, x) for n, x, _ in langid.judge("\n".join(ss[:2]), model)] == [(0, k), (1, k)]
+        assert len(prose.sentences("\n".join(ss))) == 4
+    assert not prose.is_sentence("北京。") and not prose.is_sentence("哈哈哈哈哈哈哈哈哈哈哈哈。") and not prose.is_sentence("In 北京 1999.")
+
+
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, "Some text that has no label at all.", None)], "doc_id long, text string, lang string")
     model = langid.fit(df, doc_id="doc_id", text="text", label="lang")
