@@ -90,10 +90,11 @@ def encoded(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
 
-def fit(documents: DataFrame, *, doc_id: str, text: str, label: str, per_language: int = 300, sentences_each: int = 12, dictionary_bytes: int = 48_000, least_sentences: int = 8) -> Model:
+def fit(documents: DataFrame, *, doc_id: str, text: str, label: str, per_language: int = 300, sentences_each: int = 12, dictionary_bytes: int = 48_000, least_sentences: int = 8, sentence_chars: int = 400) -> Model:
     """A model from at most `per_language` labelled documents of each language and `sentences_each` sentences of each.
 
-    The documents are those with the smallest hash of their id, so the sample is the same for every
+    The sentences are spread evenly over a text, and of each at most `sentence_chars` characters are
+    taken, so that a text without full stops can't swamp the driver or fill a dictionary. The documents are those with the smallest hash of their id, so the sample is the same for every
     layout of the table; what reaches the driver is bounded by these numbers. Languages with fewer than
     `least_sentences` usable sentences have no dictionary.
     """
@@ -110,10 +111,9 @@ def fit(documents: DataFrame, *, doc_id: str, text: str, label: str, per_languag
             langs, got = [], []
             for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found = [s for p in prose.pieces(t) for s in prose.sentences(p)]
-                step = max(1, len(found) // sentences_each)
-                for s in found[::step][:sentences_each]:
+                for s in spread_over(found, sentences_each):
                     langs.append(lang)
-                    got.append(s[:400])
+                    got.append(s[:sentence_chars])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(got, pa.string())], names=["lang", "s"])
 
     by: dict[str, list[str]] = defaultdict(list)
@@ -122,6 +122,12 @@ def fit(documents: DataFrame, *, doc_id: str, text: str, label: str, per_languag
     return Model(dictionaries_of(by, dictionary_bytes, least_sentences))
 
 
+def spread_over(items: list[str], n: int) -> list[str]:
+    """At most `n` of `items`, evenly spread over all of them."""
+    n = min(n, len(items))
+    return [items[i * len(items) // n] for i in range(n)]
+
+
 def dictionaries_of(by: dict[str, list[str]], dictionary_bytes: int, least_sentences: int) -> dict[str, bytes]:
     """Raw-content dictionaries from labelled sentences, some of which are labelled wrong."""
     words = {k: Counter(w for s in v for w in set(_words(s))) for k, v in by.items()}

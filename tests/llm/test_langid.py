@@ -78,6 +78,11 @@ def test_scripts_without_spaces(spark):
     assert not prose.is_sentence("北京。") and not prose.is_sentence("哈哈哈哈哈哈哈哈哈哈哈哈。") and not prose.is_sentence("In 北京 1999.")
 
 
+def test_sample_is_spread_over_a_text():
+    assert langid.spread_over(list(range(23)), 12) == [0, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19, 21]
+    assert langid.spread_over(list(range(5)), 12) == [0, 1, 2, 3, 4] and langid.spread_over([], 12) == []
+
+
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, "Some text that has no label at all.", None)], "doc_id long, text string, lang string")
     model = langid.fit(df, doc_id="doc_id", text="text", label="lang")
