@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,7 +37,7 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, **co
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, a single machine) a local folder is made and set.
+    Only where it is unset (tests, a single machine) a local folder is made and set, and removed when Python ends.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
@@ -43,33 +45,33 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        d = "file://" + tempfile.mkdtemp(prefix="dimforge-")
+        local = tempfile.mkdtemp(prefix="dimforge-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        d = "file://" + local
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """`df` over as many tasks as there are cores, if it is a plain scan of too few splits; else as it is.
+def work_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; :func:`clear` removes it."""
+    return f"{shared_dir(spark).rstrip('/')}/dimforge-{spark.sparkContext.applicationId}"
 
-    For work that costs far more than moving its input: tokenising, parsing, compressing. A table of
-    more splits than half the cores, which any large one is, isn't touched.
-    """
-    plan = df._jdf.queryExecution().sparkPlan().toString() if hasattr(df, "_jdf") else "Exchange"
-    if any(x in plan for x in ("Exchange", "Join", "Aggregate", "Window", "Sort", "Union", "Limit", "InMemory")):
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 > cores:
-        return df
-    return df.repartition(cores)
+
+def clear(spark: SparkSession) -> None:
+    """Remove what :func:`materialise` has written. DataFrames made from it can't be read any more."""
+    from dimforge.sources import fs
+
+    if fs.exists(spark, work_dir(spark)):
+        fs.remove(spark, work_dir(spark))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 
-    Cuts lineage so that costly work (tokenising, parsing) runs once; the files outlive
-    lost executors. The folder belongs to the run and is cleared with it.
+    Cuts lineage so that costly work (tokenising, parsing) runs once, and gives the planner the true
+    size; the files outlive lost executors. They stay until :func:`clear`.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

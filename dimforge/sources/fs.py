@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dimforge import session
+
 
 @dataclass(frozen=True)
 class Stat:
@@ -78,16 +80,21 @@ def stat(spark: SparkSession, path: str) -> Stat | None:
     return Stat(path, _minute(latest), size, True)
 
 
-def listing(spark: SparkSession, *roots: str) -> DataFrame:
-    """All files below `roots` as a DataFrame (path, mtime, size), listed by Spark's own parallel file index.
+def files_below(spark: SparkSession, *roots: str) -> DataFrame:
+    """All files below `roots`: path, modificationTime, length; listed by Spark's own parallel file index.
 
     Contents aren't read. Empty files hold nothing to process and aren't listed; :func:`glob_stat` sees them.
     """
     have = [r for r in roots if exists(spark, r)]
     if not have:
-        return spark.createDataFrame([], "path string, mtime timestamp, size bigint")
-    got = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(have)
-    return got.selectExpr("path", "date_trunc('minute', modificationTime) as mtime", "length as size")
+        have = [f"{session.work_dir(spark)}/none"]
+        mkdir(spark, *have)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(have).select("path", "modificationTime", "length")
+
+
+def listing(spark: SparkSession, *roots: str) -> DataFrame:
+    """:func:`files_below` as path, mtime (by the minute), size."""
+    return files_below(spark, *roots).selectExpr("path", "date_trunc('minute', modificationTime) as mtime", "length as size")
 
 
 def mkdir(spark: SparkSession, *paths: str) -> None:
