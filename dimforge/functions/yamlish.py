@@ -17,26 +17,48 @@ _KEY = re.compile(r"""^(?P<indent> *)(?P<key>"(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|:?
 
 def mapping(text: str) -> dict | None:
     """The mapping that `text`, a JSON object or one YAML document, holds; None if it isn't one."""
-    try:
-        got = json.loads(text)
-        return got if isinstance(got, dict) else None
-    except (ValueError, RecursionError):
-        pass
+    if text.lstrip()[:1] == "{":
+        try:
+            got = json.loads(text)
+            return got if isinstance(got, dict) else None
+        except (ValueError, RecursionError):
+            pass
     if yaml is None:
         return _subset(text)
     try:
-        node = yaml.compose(text, _LOADER)
-        if not isinstance(node, yaml.MappingNode):
-            return None
         try:
             got = yaml.load(text, _LOADER)
-        except (yaml.YAMLError, ValueError, TypeError):  # a mapping whose values have no Python form
+        except (yaml.constructor.ConstructorError, ValueError, TypeError):  # a mapping, perhaps, whose values have no Python form
+            if not isinstance(yaml.compose(text, _LOADER), yaml.MappingNode):
+                return None
             got = yaml.load(text, yaml.BaseLoader)
-        return {str(k): v for k, v in got.items()}
+        return {str(k): v for k, v in got.items()} if isinstance(got, dict) else None
     except (yaml.YAMLError, ValueError, TypeError, RecursionError):
         return None
 
 
+def is_mapping(text: str) -> bool:
+    """Whether :func:`mapping` gives anything, without making the values where that can be told from the structure."""
+    if yaml is None or text.lstrip()[:1] == "{":
+        return mapping(text) is not None
+    try:
+        node = yaml.compose(text, _LOADER)
+    except (yaml.YAMLError, ValueError, RecursionError):
+        return False
+    return isinstance(node, yaml.MappingNode) and (_usual(node, 8) or mapping(text) is not None)
+
+
+def _usual(node, depth: int) -> bool:
+    """Nothing below `node` but text keys, scalars and lists: what always can be made."""
+    if isinstance(node, yaml.ScalarNode):
+        return True
+    if not depth:
+        return False
+    if isinstance(node, yaml.SequenceNode):
+        return all(_usual(x, depth - 1) for x in node.value)
+    return all(k.tag == "tag:yaml.org,2002:str" and _usual(v, depth - 1) for k, v in node.value)
+
+
 def _scalar(v: str):
     if v.startswith(("{", "[")):
         return json.loads(v)

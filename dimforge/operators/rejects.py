@@ -57,37 +57,50 @@ def fields_of(raw: str) -> list[str] | None:
     Broken: a quote left open, text beside a closing quote, a quote inside an unquoted field, or a
     line break outside quotes.
     """
-    records = assemble(raw)
-    if records is None or len(records) != 1:
-        return None
+    if "\n" in raw or "\r" in raw:
+        records = assemble(raw)
+        if records is None or len(records) != 1:
+            return None
     try:
-        rows = list(csv.reader(io.StringIO(records[0], newline=""), strict=True))
+        rows = list(csv.reader((raw,), strict=True))
     except csv.Error:
         return None
-    if len(rows) != 1 or ('"' in raw and '"' in _QUOTED.sub(r"\1", raw)):
+    if len(rows) != 1 or not rows[0] or ('"' in raw and '"' in _QUOTED.sub(r"\1", raw)):
         return None
     return rows[0]
 
 
-def typed(value: str, kind: str) -> tuple[bool, str | None]:
-    """Whether `value` fits `kind`, and its plain form: digits, true or false, JSON text. Blank fits and gives null."""
+def whole_number(v: str) -> str | None:
+    """`v` as plain digits with a sign if negative; None if it isn't a whole number of at most 64 bits, however long it is written."""
+    if not _WHOLE.fullmatch(v):
+        return None
+    digits = v.lstrip("+-").lstrip("0") or "0"
+    if len(digits) > 19 or int(digits) > 2**63 - (v[0] != "-"):
+        return None
+    return f"-{digits}" if v[0] == "-" and digits != "0" else digits
+
+
+def typed(value: str, kind: str, wanted: bool = True) -> tuple[bool, str | None]:
+    """Whether `value` fits `kind`, and its plain form: digits, true or false, JSON text (if `wanted`). Blank fits and gives null."""
     v = value.strip()
     if not v:
         return True, None
     if kind == "whole":
-        ok = bool(_WHOLE.fullmatch(v)) and -(2**63) <= int(v[:25]) < 2**63
-        return ok, str(int(v)) if ok else None
+        n = whole_number(v)
+        return n is not None, n
     if kind == "boolean":
         low = v.lower()
         return low in _TRUE or low in _FALSE, "true" if low in _TRUE else "false"
+    if kind == "mapping" and not wanted:
+        return yamlish.is_mapping(value), None
     if kind == "mapping":
         got = yamlish.mapping(value)
-        return got is not None, None if got is None else json.dumps(got, ensure_ascii=False, default=str)
+        return got is not None, json.dumps(got, ensure_ascii=False, default=str) if got is not None else None
     return True, value
 
 
-def judge(raw: str | None, first: bool, fields: Sequence[Field], comment: str) -> tuple[bool, str | None, list[str | None]]:
-    """(is it a record, reason it can't be loaded, plain forms of its fields) of one raw line."""
+def judge(raw: str | None, first: bool, fields: Sequence[Field], comment: str, wanted: Sequence[str] | None = None) -> tuple[bool, str | None, list[str | None]]:
+    """(is it a record, reason it can't be loaded, plain forms of its fields) of one raw line; of mappings only those `wanted`, all for None."""
     none = [None] * len(fields)
     if raw is None:
         return False, None, none
@@ -101,14 +114,14 @@ def judge(raw: str | None, first: bool, fields: Sequence[Field], comment: str) -
         return True, "columns", none
     plain = []
     for f, v in zip(fields, got):
-        ok, p = typed(v, f.kind)
+        ok, p = typed(v, f.kind, wanted is None or f.name in wanted)
         if not ok or (f.required and p is None):
             return True, f.name, none
         plain.append(p)
     return True, None, plain
 
 
-def parse(lines: DataFrame, raw: str, fields: Sequence[Field], *, keep: Sequence[str] = (), line_no: str | None = None, comment: str = "#") -> DataFrame:
+def parse(lines: DataFrame, raw: str, fields: Sequence[Field], *, keep: Sequence[str] = (), line_no: str | None = None, comment: str = "#", wanted: Sequence[str] | None = None) -> DataFrame:
     """One row per record of `lines`: the `keep` columns, `reason` and the fields in plain form.
 
     Header (line number 1, or the field names themselves), comment and blank lines and nulls aren't
@@ -116,7 +129,7 @@ def parse(lines: DataFrame, raw: str, fields: Sequence[Field], *, keep: Sequence
     holds of `quoting`, `columns` and the names of unusable fields in order; the fields are then null.
     A leading byte-order mark and a final carriage return aren't part of a record. Whole numbers
     beyond 64 bits are unusable. Other columns of `lines` are not read. Records of any length are
-    taken; nothing is shuffled.
+    taken; nothing is shuffled. Mappings that aren't `wanted` (all are, for None) are checked but given as null.
     """
     require(lines, raw, *keep, *([line_no] if line_no else []))
     names = [f.name for f in fields]
@@ -127,12 +140,12 @@ def parse(lines: DataFrame, raw: str, fields: Sequence[Field], *, keep: Sequence
     schema = source.drop(r, first).schema.add("reason", "string")
     for n in names:
         schema = schema.add(n, "string")
-    kept, spec = len(keep), tuple(fields)
+    kept, spec, want = len(keep), tuple(fields), None if wanted is None else frozenset(wanted)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(sys.maxsize)
         for b in batches:
-            judged = [judge(t, h, spec, comment) for t, h in zip(b.column(kept).to_pylist(), b.column(kept + 1).to_pylist())]
+            judged = [judge(t, h, spec, comment, want) for t, h in zip(b.column(kept).to_pylist(), b.column(kept + 1).to_pylist())]
             at = pa.array([i for i, j in enumerate(judged) if j[0]], pa.int64())
             rows = [j for j in judged if j[0]]
             own = [b.column(i).take(at) for i in range(kept)]

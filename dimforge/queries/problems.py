@@ -107,7 +107,7 @@ def p2_attributes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    users = rejects.accepted(rejects.parse(table(spark, sf, "user_file"), "raw_line", USER_FIELDS, keep=["line_id"], line_no="line_no"))
+    users = rejects.accepted(rejects.parse(table(spark, sf, "user_file"), "raw_line", USER_FIELDS, keep=["line_id"], line_no="line_no", wanted=()))
     z = zones(spark, sf).select(F.col("tenant_id").cast("string").alias("tenant_id"), "zone")
     deleted = timestamps.normalise(users.select("line_id", "tenant_id", "deleted_at").join(z, "tenant_id", "left"), "deleted_at", "zone", plain="plain")
     pick = lambda df, name: df.where("epoch_us is not null and not plain").select(F.lit(name).alias("source_name"), F.col("line_id").alias("row_id"), "epoch_us")
@@ -159,7 +159,7 @@ where not exists (select 1 from ok where table_name = 'visits_fact' and v.last_m
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = rejects.parse(table(spark, sf, "user_file"), "raw_line", USER_FIELDS, keep=["line_id"], line_no="line_no")
+    parsed = rejects.parse(table(spark, sf, "user_file"), "raw_line", USER_FIELDS, keep=["line_id"], line_no="line_no", wanted=())
     return rejects.rejected(parsed).select("line_id", "reason")
 
 

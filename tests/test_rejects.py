@@ -53,3 +53,20 @@ def test_fields(line, want):
 def test_yaml_subset_agrees():
     for text in ["a: 1", "---\n:a: 1\n:b: x\n", "a:\n  b: 2\n", 'a: "x:y"\nb: [1, 2]', "42", "- a", "a: b: c", "---\n\ta: 1", ""]:
         assert (yamlish._subset(text) is None) == (yamlish.mapping(text) is None), text
+
+
+def test_whole_numbers():
+    assert rejects.whole_number("0" * 24 + "9" * 20) is None  # too large, however it begins
+    assert rejects.whole_number("0" * 40 + "7") == "7" and rejects.whole_number("-" + "0" * 30) == "0" and rejects.whole_number("+12") == "12"
+    assert rejects.whole_number(str(2**63 - 1)) == str(2**63 - 1) and rejects.whole_number(str(2**63)) is None
+    assert rejects.whole_number(str(-(2**63))) == str(-(2**63)) and rejects.whole_number(str(-(2**63) - 1)) is None
+
+
+def test_long_numbers_load(spark):
+    df = spark.createDataFrame([(1, "0" * 24 + "9" * 20 + ",1,,,"), (2, "0" * 40 + "7,1,,,")], "n int, raw string")
+    assert [r.id for r in rejects.load(df, "raw", F5).collect()] == [7]
+
+
+@pytest.mark.parametrize("text", ["a: 1", "---\n:a: [x, y]\n", "{a: 1}", "[1]: 2", "{[1]: 2}", "a: b: c", "- a", "42", "a: 2024-13-45", "a: !!int x", "<<: 1", "a: 1\n---\nb: 2", "1: 2", "a: *b", "", "null", '{"a": 1', "a: &x {b: 1}\nc: *x"])
+def test_mapping_told_from_structure(text):
+    assert yamlish.is_mapping(text) == (yamlish.mapping(text) is not None)
