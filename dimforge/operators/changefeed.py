@@ -1,8 +1,8 @@
 """Replay of a feed of inserts, updates and deletes into the current state of a table.
 
 Deliveries are first assembled into changes (late, repeated and corrected deliveries of one change
-leave one row), changes into transactions. State is exposed only up to the committed watermark: the
-last transaction before the first gap or incomplete one. Changes of different keys don't conflict
+leave one row), changes into transactions, which have or are given commit numbers. State is exposed
+only up to the committed watermark: the last transaction before the first gap or incomplete one. Changes of different keys don't conflict
 and are replayed in parallel; the replay of one key is an associative merge (last complete record,
 last removal, last setter of each attribute), so it is combined on the map side and a key that holds
 a third of the feed costs no more than any other.
@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dimforge.functions.names import col, free, require
+from dimforge.functions.names import all_columns, col, free, require
 
 COMPLETE, PARTIAL, REMOVAL = 0, 1, -1
 
@@ -45,6 +45,26 @@ def assemble(deliveries: DataFrame, change: Sequence[str], newest: Sequence[str]
     return got.select(*[col(c) if c in change else F.col(best)[c].alias(c) for c in deliveries.columns])
 
 
+def sequence(changes: DataFrame, order: Sequence[str], name: str = "commit", bucket: str = "hour") -> DataFrame:
+    """`changes` with bigint `name`: the commit number, from 1 without gaps, of the transaction each belongs to.
+
+    Changes equal in all of `order` are one transaction; transactions are numbered in that order, nulls
+    lowest. The first of `order` is a time; changes without it have no place and no number. Numbers are
+    counted within buckets of that time (a date_trunc unit) and moved on by what earlier buckets hold, so
+    no task sees more than a bucket. Other columns are kept.
+    """
+    require(changes, *order)
+    b, local, base = free([*changes.columns, name], "__bucket", "__local", "__base")
+    w = Window.partitionBy(b).orderBy(*[col(c) for c in order])
+    counted = changes.withColumn(b, F.date_trunc(bucket, col(order[0]))).withColumn(local, F.when(F.col(b).isNotNull(), F.dense_rank().over(w)))
+    # One row per bucket; both branches read the exchange that the numbering needs.
+    tops = counted.where(all_columns(changes)).groupBy(F.col(b).alias("__b")).agg(F.max(local).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    tops = tops.where("__b is not null").select("__b", F.coalesce(before, F.lit(0)).alias(base))
+    numbered = counted.join(tops, F.col(b) == F.col("__b"), "left")
+    return numbered.select(*[col(c) for c in changes.columns], (F.col(local) + F.col(base)).cast("long").alias(name))
+
+
 def watermark(changes: DataFrame, sequence: str, size: str | None = None, first: int = 1) -> DataFrame:
     """One row, `watermark` bigint: the last commit number up to which every transaction is complete.
 

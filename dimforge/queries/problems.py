@@ -30,10 +30,23 @@ def zones(spark: SparkSession, sf: str) -> DataFrame:
 ATTRIBUTES = ["tenant_account_state", "tenant_premium_state"]
 
 
-def tenant_state(spark: SparkSession, sf: str, attributes: list[str]) -> DataFrame:
+ORDER = ["start_at", "delta", "source_uuid", "source_kind"]
+
+
+def commit_log(spark: SparkSession, sf: str, attributes: list[str]) -> DataFrame:
+    """The changes of the feed with the number of the transaction each belongs to, written once: its watermark and its replay both read it."""
     feed = table(spark, sf, "tenant_ledger").select("id", "tenant_id", *attributes, "source_kind", changefeed.canonical_uuid(F.col("source_uuid")).alias("source_uuid"), "start_at", "last_modified_at", "delta")
-    changes = changefeed.assemble(feed, ["tenant_id", "source_kind", "source_uuid", "start_at"], ["last_modified_at", "id"])
-    return changefeed.replay(changes, key=["tenant_id"], order=["start_at", "delta", "source_uuid", "source_kind"], op="delta", attributes=attributes, origin=["source_kind", "source_uuid"])
+    changes = changefeed.assemble(feed, ["tenant_id", "source_kind", "source_uuid", "start_at"], ["last_modified_at", "id"]).drop("id", "last_modified_at")
+    return session.materialise(changefeed.sequence(changes, ORDER), "commits")
+
+
+def replayed(changes: DataFrame, attributes: list[str]) -> DataFrame:
+    return changefeed.replay(changes, key=["tenant_id"], order=["commit"], op="delta", attributes=attributes, origin=["source_kind", "source_uuid"])
+
+
+def tenant_state(spark: SparkSession, sf: str, attributes: list[str]) -> DataFrame:
+    """The state at the watermark. The feed says nothing of the size of a transaction, so each is complete as it came."""
+    return replayed(changefeed.committed(commit_log(spark, sf, attributes), "commit"), attributes)
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,6 +59,18 @@ def p1_state(spark: SparkSession, sf: str) -> DataFrame:
     return tenant_state(spark, sf, names).select("tenant_id", *[F.col(a)["value"].alias(a) for a in names])
 
 
+def p1_held(spark: SparkSession, sf: str) -> DataFrame:
+    """The current records while a transaction two thirds on lacks a change and one three quarters on hasn't come: what follows is held."""
+    log = commit_log(spark, sf, ATTRIBUTES)
+    sized = log.groupBy("commit").agg(F.count(F.lit(1)).alias("n"))
+    last = log.agg(F.max("commit")).scalar()
+    short, absent = F.floor(last * 2 / 3), F.floor(last * 3 / 4)
+    announced = sized.select(F.col("commit").alias("c"), F.when(F.col("commit") == short, F.col("n") + 1).otherwise(F.col("n")).alias("size"))
+    feed = log.join(announced, F.col("commit") == F.col("c")).where(F.col("commit") != absent).drop("c")
+    state = replayed(changefeed.committed(feed, "commit", "size"), ATTRIBUTES)
+    return state.select("tenant_id", *[F.col(a)["value"].alias(a) for a in ATTRIBUTES], changefeed.watermark(feed, "commit", "size").scalar().alias("watermark"))
+
+
 _P1 = """
 with u as (
   select *, lower(regexp_replace(trim(source_uuid), '[{}()\\s-]', '', 'g')) as bare from tenant_ledger
@@ -77,6 +102,22 @@ select tenant_id, arg_max(tenant_account_state, rn) filter (where tenant_account
   arg_max(preferences, rn) filter (where preferences is not null) as preferences
 from live group by tenant_id
 """
+P1_HELD = _P1.split(", n as (")[0] + """, q as (
+  select *, dense_rank() over (order by start_at, delta, source_uuid, source_kind) as n from d where start_at is not null
+), m as (
+  select n, count(*) + (n = (select max(n) * 2 // 3 from q))::int as size, count(*) as got from q group by n
+), mark as (
+  select min(n) - 1 as w from m where got < size or n = (select max(n) * 3 // 4 from q)
+), done as (
+  select * from q where n <= (select w from mark)
+), e as (
+  select tenant_id, max(n) filter (where delta = 0) as complete, max(n) filter (where delta = -1) as removal from done group by tenant_id
+), live as (
+  select c.* from done c join e on c.tenant_id = e.tenant_id where e.complete is not null and (e.removal is null or e.removal < e.complete) and c.n >= e.complete and c.delta in (0, 1)
+)
+select tenant_id, arg_max(tenant_account_state, n) filter (where tenant_account_state is not null) as tenant_account_state,
+  arg_max(tenant_premium_state, n) filter (where tenant_premium_state is not null) as tenant_premium_state, (select w from mark) as watermark from live group by tenant_id
+"""
 
 
 # 2, 6 -------------------------------------------------------------------- instants, known attributes
@@ -243,9 +284,9 @@ P7_FOUND = P7_FOUND + "select * from r where kind is not null"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p1_found, p1_state, p2_found, p2_attributes, p3_found, p3_loaded, p4_found, p4_loaded, p5_found, p5_history, p6_found, p7_found, p7_report)
+    names = (p1_found, p1_state, p1_held, p2_found, p2_attributes, p3_found, p3_loaded, p4_found, p4_loaded, p5_found, p5_history, p6_found, p7_found, p7_report)
     return {f.__name__: f for f in names}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_state": P1_STATE, "p3_found": P3_FOUND, "p3_loaded": P3_LOADED, "p5_found": P5_FOUND, "p5_history": P5_HISTORY, "p7_found": P7_FOUND, "p7_report": P7_REPORT}
+    return {"p1_found": P1_FOUND, "p1_state": P1_STATE, "p1_held": P1_HELD, "p3_found": P3_FOUND, "p3_loaded": P3_LOADED, "p5_found": P5_FOUND, "p5_history": P5_HISTORY, "p7_found": P7_FOUND, "p7_report": P7_REPORT}

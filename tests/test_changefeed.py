@@ -84,3 +84,26 @@ def test_maps_are_carried(spark):
     df = spark.createDataFrame([(1, T0, 1, {"a": "old"}), (1, T0, 2, {"a": "new"}), (2, T0, 1, None)], "t int, start_at timestamp_ntz, seen int, m map<string,string>")
     got = {r.t: r.m for r in cf.assemble(df, ["t", "start_at"], ["seen"]).collect()}
     assert got == {1: {"a": "new"}, 2: None}
+
+
+def test_numbered_feeds(spark):
+    """Numbers, watermark and replay of a whole feed against the plain replay of all of it, and of its part before a gap."""
+    rnd = random.Random(9)
+    rows = [(i, rnd.randrange(4), rnd.choice([None, "a", "b"]), None, "k", rnd.choice([None, "u", "v", "w"]), T0 + timedelta(hours=rnd.randrange(50), minutes=rnd.randrange(3)), T0, rnd.choice([0, 1, 1, -1])) for i in range(300)]
+    changes = cf.assemble(spark.createDataFrame([*rows, (999, 1, "a", None, "k", "u", None, T0, 0)], SCHEMA), ["tenant", "kind", "uuid", "start_at"], ["seen", "id"])
+    numbered = cf.sequence(changes, ORDER)
+    got = numbered.collect()
+    assert {r.commit for r in got if r.start_at is None} == {None}
+    low = lambda v: (v is not None, v or "")
+    keys = sorted({(r.start_at, r.delta, low(r.uuid), r.kind) for r in got if r.start_at})
+    assert all(keys[r.commit - 1] == (r.start_at, r.delta, low(r.uuid), r.kind) for r in got if r.start_at)
+    assert cf.watermark(numbered, "commit").first()[0] == len(keys)
+    replay = lambda df: {r.tenant: r.state.value if r.state else None for r in cf.replay(df, key=KEY, order=["commit"], op="delta", attributes=["state"]).collect()}
+    cut = numbered.where("commit <> 40")
+    assert replay(cf.committed(cut, "commit")) == replay(numbered.where("commit < 40")) != replay(cut)
+    assert cf.sequence(changes.limit(0), ORDER).count() == 0
+
+
+def test_sequence_keeps_clashing_names(spark):
+    df = spark.createDataFrame([(T0, 1, 2), (T0, 1, 3)], "start_at timestamp_ntz, __bucket int, __local int")
+    assert sorted((r["__local"], r.commit) for r in cf.sequence(df, ["start_at", "__bucket"]).collect()) == [(2, 1), (3, 1)]
