@@ -24,9 +24,9 @@ def generate(spark: SparkSession, start: str, stop: str, step: str) -> DataFrame
     return spark.range(1).select(F.explode(F.sequence(lo, F.greatest(lo, hi), F.expr(_INTERVAL[step]))).alias("at"))
 
 
-def bind(listing: DataFrame, pattern: Pattern, path: str = "path") -> DataFrame:
-    """`listing` with `at`, the time each path is for; paths that are no instances are left out."""
-    return listing.withColumn("at", cut(pattern.time_column(F.col(path)), pattern.step)).where("at is not null")
+def bind(listing: DataFrame, pattern: Pattern, path: str = "path", below: bool = False) -> DataFrame:
+    """`listing` with `at`, the time each path is for; paths that are no instances (with `below`, nor in the folder of one) are left out."""
+    return listing.withColumn("at", cut(pattern.time_column(F.col(path), below), pattern.step)).where("at is not null")
 
 
 def missing(expected: DataFrame, have: DataFrame) -> DataFrame:

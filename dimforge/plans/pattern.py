@@ -92,6 +92,16 @@ class Pattern:
         got = self.match(text)
         return got is not None and (not got["rest"] or "*" in got["rest"])
 
+    def covers(self, text: str) -> bool:
+        """Whether `text` is an instance or lies in the folder of one."""
+        got = self.match(text)
+        return got is not None and (not got["rest"] or "*" in got["rest"] or got["rest"].startswith("/"))
+
+    @cached_property
+    def root(self) -> str:
+        """The folder all instances are below; empty for tables."""
+        return "/".join(re.split(r"[%*]", self.text, maxsplit=1)[0].split("/")[:-1]) if "/" in self.text else ""
+
     def time(self, text: str) -> dt.datetime:
         got = self.match(text)
         if got is None:
@@ -129,8 +139,8 @@ class Pattern:
             raise ValueError(f"{self.text} can't be rounded to {grain}")
         return Pattern("/".join(parts[: at + 1]), self.zone)
 
-    def time_column(self, path: Column) -> Column:
-        """The time of each instance in `path`, null where it is none; in the JVM."""
+    def time_column(self, path: Column, below: bool = False) -> Column:
+        """The time of each instance in `path` (with `below`, of what is in the folder of one), null where it is none; in the JVM."""
         units = {n: i + 1 for i, n in enumerate(self.names)}
         part = lambda n, d: F.trim(F.regexp_extract(path, self.regex, units[n])).try_cast("int") if n in units else F.lit(d)
         if "stamp" in units:
@@ -138,4 +148,5 @@ class Pattern:
         else:
             made = F.try_make_timestamp_ntz(part("year", 1), part("month", 1), part("day", 1), part("hour", 0), F.lit(0), F.lit(0))
         rest = F.regexp_extract(path, self.regex, units["rest"])
-        return F.when(path.rlike(self.regex) & ((rest == "") | rest.contains("*")), made)
+        ends = (rest == "") | rest.contains("*")
+        return F.when(path.rlike(self.regex) & (ends | rest.startswith("/") if below else ends), made)

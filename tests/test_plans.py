@@ -2,9 +2,9 @@ import datetime as dt
 
 import pytest
 
-from dimforge.plans import dates, frames
-from dimforge.plans.engine import Engine, StaticListing
+from dimforge.plans import dates
 from dimforge.plans.pattern import Pattern, cut, move
+from dimforge.plans.planner import Planner
 
 D = dt.datetime
 
@@ -12,14 +12,15 @@ D = dt.datetime
 @pytest.mark.parametrize(
     "text,step,instance,time",
     [
-        ("/log/%Y%m%d.*.log", "day", "/log/20130101.web.log", D(2013, 1, 1)), ("/table/y=%Y/m=%m/d=%d", "day", "/table/y=2013/m=01/d=02", D(2013, 1, 2)), ("/monthly/%Y-%m", "month", "/monthly/2013-02", D(2013, 2, 1)),
-        ("/h/%Y-%-m-%-d/%-k", "hour", "/h/2013-1-2/3", D(2013, 1, 2, 3)), ("/s/%H-s", "hour", "/s/1356998400", D(2013, 1, 1)), ("/s/%d-s", "day", "/s/1356998400", D(2013, 1, 1)), ("visits_y%Ym%m", "month", "visits_y2014m12", D(2014, 12, 1)),
+        ("/raw/%Y/%m-%d.*.gz", "day", "/raw/2021/06-09.eu.gz", D(2021, 6, 9)), ("/clean/day=%Y%m%d", "day", "/clean/day=20210609", D(2021, 6, 9)), ("/sums/%Y/%m", "month", "/sums/2021/07", D(2021, 7, 1)),
+        ("/h/%Y-%-m-%-d/%-k", "hour", "/h/2021-6-9/3", D(2021, 6, 9, 3)), ("/s/%H-s", "hour", "/s/1623196800", D(2021, 6, 9)), ("/s/%d-s", "day", "/s/1623196800", D(2021, 6, 9)), ("visits_y%Ym%m", "month", "visits_y2022m12", D(2022, 12, 1)),
     ],
 )
 def test_patterns(spark, text, step, instance, time):
     p = Pattern(text)
     assert p.step == step and p.matches(instance) and p.time(instance) == time
     assert not p.matches(instance + "/more") and p.matches(instance + "/*") and not p.matches("x" + instance)
+    assert p.covers(instance + "/more") or "*" in text
     glob = p.match(instance).get("glob")
     assert p.render(time, glob) == instance
     df = spark.createDataFrame([(instance,), ("nothing",), (None,)], "path string")
@@ -27,85 +28,103 @@ def test_patterns(spark, text, step, instance, time):
 
 
 def test_rounding_and_steps():
-    p = Pattern("/t/y=%Y/m=%m/d=%d")
-    assert p.rounded("month").text == "/t/y=%Y/m=%m"
+    p = Pattern("/clean/%Y/%m/day=%d")
+    assert p.rounded("month").text == "/clean/%Y/%m"
     with pytest.raises(ValueError):
         p.rounded("hour")
     assert move(D(2024, 1, 31), "month") == D(2024, 2, 29) and move(D(2024, 3, 1), "month", -1) == D(2024, 2, 1) and cut(D(2024, 5, 6, 7, 8), "year") == D(2024, 1, 1)
 
 
-def engine(files):
-    e = Engine(StaticListing(files))
-    ran = []
-    e.rule("primary", "/log/%Y%m%d.*.log", "/table/y=%Y/m=%m/d=%d", lambda eng, n: ran.append((n, [t.text for t in eng.targets(n).actionable()])))
-    e.rule("daily", "/table/y=%Y/m=%m/d=%d", "/daily/%Y-%m-%d", lambda eng, n: ran.append((n, None)))
-    e.rule("monthly", "/table/y=%Y/m=%m/d=%d", "/monthly/%Y-%m", lambda eng, n: ran.append((n, None)))
-    return e, ran
-
-
-def test_sets():
-    e, _ = engine({"/log/20130101.a.log": 60, "/log/20130101.b.log": 600, "/log/20130103.a.log": 60, "/table/y=2013/m=01/d=01/part-0": 300, "/table/y=2013/m=01/d=03/part-0": 300})
-    t = e.for_range("primary", D(2013, 1, 1), D(2013, 1, 3))
-    texts = lambda s: [x.text for x in s]
-    assert texts(t) == [f"/table/y=2013/m=01/d=0{i}" for i in (1, 2, 3)]
-    assert texts(t.missing()) == ["/table/y=2013/m=01/d=02"]
-    assert len(t.existing()) == 2
-    assert texts(t.stale()) == ["/table/y=2013/m=01/d=01"]
-    assert texts(t.incomplete()) == ["/table/y=2013/m=01/d=02"]
-    assert texts(t.actionable()) == ["/table/y=2013/m=01/d=02", "/table/y=2013/m=01/d=01"]
-    assert texts(t.updateable()) == ["/table/y=2013/m=01/d=01"]
-    assert texts(t.sources()) == ["/log/20130101.*.log", "/log/20130102.*.log", "/log/20130103.*.log"]
-    assert texts(t.sources().targets()) == texts(t) and not t.targets() and not t.sources().sources() and not t.sources().stale()
-    assert texts(t.with_grain("month")) == ["/table/y=2013/m=01"]
-    assert t.has("/table/y=2013/m=01/d=02") and not t.has("/table/y=2014/m=01/d=02")
-    m = e.for_range("monthly", D(2013, 1, 1), D(2013, 1, 1))
-    assert len(m.sources()) == 31 and len(m.incomplete()) == 1
-    assert sorted(t)[0].start == D(2013, 1, 3)
-
-
-def test_prepare_and_execute():
-    e, ran = engine({"/log/20130101.a.log": 60})
-    e.prepare("daily", targets=["/daily/2013-01-01"])
-    assert e.execute("daily") == ["primary", "daily"]
-    assert ran == [("primary", ["/table/y=2013/m=01/d=01"]), ("daily", None)]
-    done, none = engine({"/log/20130101.a.log": 60, "/table/y=2013/m=01/d=01/p": 120, "/daily/2013-01-01/p": 180})
-    done.prepare("daily", targets=["/daily/2013-01-01"])
-    assert done.execute("daily") == [] and none == []
-    with pytest.raises(LookupError):
-        e.rule_for("/unheard/of")
-    assert e.rule_for("/log/20130101.x.log") is None and e.rule_for("/table/y=2013/m=01/d=01") == "primary"
-    loop = Engine(StaticListing({}))
-    loop.rule("a", "/b/%Y-%m-%d", "/a/%Y-%m-%d")
-    loop.rule("b", "/a/%Y-%m-%d", "/b/%Y-%m-%d")
-    with pytest.raises(RecursionError):
-        loop.prepare("a", targets=["/a/2013-01-01"])
-
-
-def test_window_and_decorator():
-    e = Engine(StaticListing({}))
+def planner(spark, files, log=None):
+    """Raw logs of several sites a day, a cleaned folder per day, and two tables of sums built on these."""
+    stamp = lambda s: D(1970, 1, 1) + dt.timedelta(seconds=s)
+    p = Planner(spark, lambda pattern: spark.createDataFrame([(f, stamp(m)) for f, m in files.items()], "path string, mtime timestamp_ntz"))
+
+    def run(planner, rule, todo):
+        if log is not None:
+            log.append((rule.name, todo))
+        for t in todo:
+            files[f"{t}/made" if "/" in t else t] = 9_000_000
+
+    p.rule("clean", "/raw/%Y/%m-%d.*.gz", "/clean/day=%Y%m%d", run)
+    p.rule("sums", "/clean/day=%Y%m%d", "/sums/%Y/%m", run)
+    p.rule("weekly", "/clean/day=%Y%m%d", "weekly_%Y%m%d", run, window=3)
+    return p
+
+
+def test_sets(spark):
+    p = planner(spark, {"/raw/2021/06-09.eu.gz": 60, "/raw/2021/06-09.us.gz": 600, "/raw/2021/06-11.eu.gz": 60, "/clean/day=20210609/part-0": 300, "/clean/day=20210611/part-0": 300, "/clean/day=20210611x/part-0": 300})
+    t = p.for_range("clean", D(2021, 6, 9), D(2021, 6, 11))
+    assert t.texts() == [f"/clean/day=2021060{i}" if i < 10 else f"/clean/day=202106{i}" for i in (9, 10, 11)] == t.latest_first()[::-1] and t.first() == "/clean/day=20210609"
+    assert t.missing().texts() == ["/clean/day=20210610"] == t.incomplete().texts()
+    assert sorted(r.path for r in t.existing().collect()) == ["/clean/day=20210609/part-0", "/clean/day=20210611/part-0"]
+    assert t.stale().texts() == ["/clean/day=20210609"] == t.updateable().texts()
+    assert t.actionable().texts() == ["/clean/day=20210609", "/clean/day=20210610"]
+    assert t.sources().texts() == ["/raw/2021/06-09.*.gz", "/raw/2021/06-10.*.gz", "/raw/2021/06-11.*.gz"]
+    assert t.sources().targets().texts() == t.texts() and not t.targets() and not t.sources().sources() and not t.sources().stale()
+    assert t.has("/clean/day=20210610") and not t.has("/clean/day=20220610")
+    assert (t | p.of("clean", "target", ["/clean/day=20210630", "/clean/day=20210609"])).texts()[-1] == "/clean/day=20210630"
+    m = p.for_range("sums", D(2021, 6, 30), D(2021, 6, 30))
+    assert m.texts() == ["/sums/2021/06"] and len(m.sources().times()) == 30 and m.incomplete()
+    days = p.for_range("sums", D(2021, 6, 9), D(2021, 7, 1), "source")
+    assert days.targets().texts() == ["/sums/2021/06", "/sums/2021/07"]
+    assert m.with_grain("year").texts() == ["/sums/2021"]
+    assert not p.periods("clean", "target", []).actionable() and p.periods("clean", "target", []).first() is None
+
+
+def test_a_gap_in_one_folder_is_seen(spark):
+    p = planner(spark, {"/clean/day=20210609/part-0": 60})
+    assert p.for_range("weekly", D(2021, 6, 9), D(2021, 6, 9)).missing().texts() == ["weekly_20210609"]
+    p.prepare("weekly", targets=["weekly_20210610"])
+    assert p.sources("weekly").texts() == [f"/clean/day=202106{i:02d}" for i in range(7, 14)]
+    with pytest.raises(ValueError):
+        p.prepare("weekly", targets=["weakly_20210610"])
 
-    @e.command("/in/%Y-%m-%d", "/out/%Y-%m-%d", window=1)
-    def smooth(eng, name):
-        pass
 
-    e.prepare("smooth", targets=["/out/2013-01-10"], resolve=False)
-    assert [s.text for s in e.sources("smooth")] == ["/in/2013-01-09", "/in/2013-01-10", "/in/2013-01-11"]
+def test_execute(spark):
+    ran = []
+    p = planner(spark, {"/raw/2021/06-09.eu.gz": 60}, ran)
+    p.prepare("weekly", targets=["weekly_20210609"])
+    assert p.order().index("clean") < p.order().index("weekly")
+    assert p.execute("weekly") == ["clean", "weekly"]
+    assert ran[0] == ("clean", [f"/clean/day=202106{i:02d}" for i in range(6, 13)]) and ran[1] == ("weekly", ["weekly_20210609"])
+    assert p.execute("weekly") == []
+    alone = planner(spark, {"/clean/day=20210609/p": 60}, ran)
+    alone.prepare("weekly", sources=["/clean/day=20210609"])
+    assert alone.execute("weekly", resolve=False) == ["weekly"]
+    assert p.rule_for("/raw/2021/06-09.eu.gz") is None and p.rule_for("/clean/day=20210609/part-1") == "clean"
+    with pytest.raises(LookupError):
+        p.rule_for("/unheard/of")
 
 
-def test_frames_agree_with_sets(spark):
-    e, _ = engine({"/log/20130101.a.log": 600, "/log/20130103.a.log": 60, "/table/y=2013/m=01/d=01/p": 300, "/table/y=2013/m=01/d=03/p": 300})
-    t = e.for_range("primary", D(2013, 1, 1), D(2013, 1, 3))
-    stamp = lambda s: D(1970, 1, 1) + dt.timedelta(seconds=s)
-    listing = spark.createDataFrame([(p, stamp(m)) for p, m in e.listing.mtimes.items()], "path string, mtime timestamp_ntz")
-    sources = frames.bind(listing, Pattern("/log/%Y%m%d.*.log"))
-    targets = frames.bind(listing, Pattern("/table/y=%Y/m=%m/d=%d/*"))
-    expected = frames.generate(spark, "2013-01-01", "2013-01-03", "day")
-    days = lambda df: sorted(r.at for r in df.collect())
-    assert days(frames.missing(expected, targets)) == sorted(x.start for x in t.missing())
-    assert days(frames.stale(frames.existing(expected, targets), "day", "day", sources)) == sorted(x.start for x in t.stale())
-    assert days(frames.incomplete(expected, "day", "day", sources)) == sorted(x.start for x in t.incomplete())
-    assert days(frames.actionable(expected, targets, "day", "day", sources)) == sorted(x.start for x in t.actionable())
-    assert days(frames.updateable(expected, targets, "day", "day", sources)) == sorted(x.start for x in t.updateable())
+def test_cycles_and_ambiguity(spark, caplog):
+    p = planner(spark, {})
+    p.rule("again", None, "/clean/day=%Y%m%d")
+    assert p.rule_for("/clean/day=20210609") == "clean" and "several rules" in caplog.text
+    loop = planner(spark, {})
+    loop.rule("back", "/sums/%Y/%m", "/raw/%Y/%m-%d.*.gz")
+    with pytest.raises(RecursionError):
+        loop.execute("sums")
+
+
+def test_files_and_commands(spark, tmp_path):
+    p = Planner(spark)
+    made = []
+
+    @p.command(f"{tmp_path}/in/%Y-%m-%d.txt", f"{tmp_path}/out/d=%Y-%m-%d")
+    def copy(planner, rule, todo):
+        for t in todo:
+            made.append(t)
+            (tmp_path / "out" / t.rsplit("/", 1)[1]).mkdir(parents=True)
+            (tmp_path / "out" / t.rsplit("/", 1)[1] / "part").write_text("x")
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "2021-06-09.txt").write_text("x")
+    (tmp_path / "out" / "d=2021-06-09").mkdir(parents=True)  # an empty folder is nothing
+    p.prepare("copy", sources=[f"{tmp_path}/in/2021-06-09.txt"])
+    (tmp_path / "out" / "d=2021-06-09").rmdir()
+    assert p.execute("copy") == ["copy"] and made == [f"{tmp_path}/out/d=2021-06-09"]
+    assert p.execute("copy") == []
 
 
 def test_dates():
