@@ -15,7 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dimforge.functions.names import all_columns, col, free, require
+from dimforge.functions.names import col, free, require
+from dimforge.session import materialise
 
 COMPLETE, PARTIAL, REMOVAL = 0, 1, -1
 
@@ -45,22 +46,23 @@ def assemble(deliveries: DataFrame, change: Sequence[str], newest: Sequence[str]
     return got.select(*[col(c) if c in change else F.col(best)[c].alias(c) for c in deliveries.columns])
 
 
-def sequence(changes: DataFrame, order: Sequence[str], name: str = "commit", bucket: str = "hour") -> DataFrame:
+def sequence(changes: DataFrame, order: Sequence[str], name: str = "commit", bucket: str = "hour", bucketed: str | None = None) -> DataFrame:
     """`changes` with bigint `name`: the commit number, from 1 without gaps, of the transaction each belongs to.
 
     Changes equal in all of `order` are one transaction; transactions are numbered in that order, nulls
     lowest. The first of `order` is a time; changes without it have no place and no number. Numbers are
-    counted within buckets of that time (a date_trunc unit) and moved on by what earlier buckets hold, so
-    no task sees more than a bucket. Other columns are kept.
+    counted within buckets of that time (a date_trunc unit; `bucketed` names a column that has them already) and
+    moved on by what earlier buckets hold, so no task sees more than a bucket. The changes are written once, to
+    the shared folder, as the log that both the buckets' sums and the result read. Other columns are kept.
     """
-    require(changes, *order)
+    require(changes, *order, *([bucketed] if bucketed else []))
     b, local, base = free([*changes.columns, name], "__bucket", "__local", "__base")
-    w = Window.partitionBy(b).orderBy(*[col(c) for c in order])
-    counted = changes.withColumn(b, F.date_trunc(bucket, col(order[0]))).withColumn(local, F.when(F.col(b).isNotNull(), F.dense_rank().over(w)))
-    # One row per bucket; both branches read the exchange that the numbering needs.
-    tops = counted.where(all_columns(changes)).groupBy(F.col(b).alias("__b")).agg(F.max(local).alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    tops = tops.where("__b is not null").select("__b", F.coalesce(before, F.lit(0)).alias(base))
+    w = Window.partitionBy(col(bucketed) if bucketed else F.col(b)).orderBy(*[col(c) for c in order])
+    placed = changes.withColumn(b, col(bucketed) if bucketed else F.date_trunc(bucket, col(order[0])))
+    counted = materialise(placed.withColumn(local, F.when(col(order[0]).isNotNull(), F.dense_rank().over(w))), "commits")
+    tops = counted.where(F.col(b).isNotNull()).groupBy(F.col(b).alias("__b")).agg(F.max(local).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))  # one row per bucket
+    tops = tops.select("__b", F.coalesce(before, F.lit(0)).alias(base))
     numbered = counted.join(tops, F.col(b) == F.col("__b"), "left")
     return numbered.select(*[col(c) for c in changes.columns], (F.col(local) + F.col(base)).cast("long").alias(name))
 
