@@ -5,9 +5,8 @@ the row of the same entity in snapshot n - 1. What has no earlier side was inser
 changed, what has no later side was deleted; the changes, put together, are the history, and a
 version is valid until the next one begins.
 
-Positions and version numbers are counted in buckets of time first and per entity over buckets
-afterwards, so an entity that holds a third of all rows is spread over as many tasks as it has
-buckets.
+Entities of very many rows are numbered in buckets of time first and per entity over buckets
+afterwards, so one that holds a third of all rows is spread over as many tasks as it has buckets.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from dimforge.functions.merge import comparable
 from dimforge.functions.names import all_columns, col, dealt, free, require
+from dimforge.session import materialise
 
 
 def canonical_json(c: Column) -> Column:
@@ -35,35 +35,49 @@ def _same(a: Sequence[Column], b: Sequence[Column]) -> Column:
 
 
 def diff_snapshots(snapshots: DataFrame, keys: Sequence[str], number: str, attributes: Sequence[str], last: Column | None = None) -> DataFrame:
-    """What happened between each snapshot and the one before: keys, `number`, `event`, and the attributes.
+    """What happened between each snapshot and the one before: keys, `number`, `event`, and the other columns.
 
     `snapshots` holds one row per entity (`keys`, nulls equal) and snapshot; `number` counts snapshots
     without gaps. `event` is inserted, changed, unchanged or deleted; a deleted entity has the number
-    of the first snapshot it is missing from, and the attributes it had. `last` is the number of the
-    latest snapshot: what is in it isn't deleted afterwards; with None nothing is (an entity's latest
-    observation stands). Other columns of the later row are kept. Empty in, empty out.
+    of the first snapshot it is missing from, and the attributes it had; columns that aren't `attributes` are null then. `last` is
+    the number of the latest snapshot: what is in it isn't deleted afterwards. None: every entity's last row is followed by a deleted one.
+    Empty in, empty out.
+
+    Rows meet by (entity, number) in one full outer join. Both sides are the same rows; where these are dealt
+    out by entity already (as a single column, see :func:`entity`), they are not moved again.
     """
     require(snapshots, *keys, number, *attributes)
-    extra = [c for c in snapshots.columns if c not in keys and c != number]
-    # The earlier side carries what is compared, and all of it only where a deleted row can come out.
-    carried = extra if last is not None else list(dict.fromkeys(attributes))
-    ks, ps = [f"k{i}" for i in range(len(keys))], [f"p{i}" for i in range(len(keys))]
-    now, was = {c: f"now{i}" for i, c in enumerate(extra)}, {c: f"was{i}" for i, c in enumerate(carried)}
+    e = entity_name(snapshots)
+    rows = snapshots if e in snapshots.columns else snapshots.withColumn(e, entity(keys))
+    extra = [c for c in snapshots.columns if c not in keys and c not in (number, e)]
+    was = {c: f"was{i}" for i, c in enumerate(dict.fromkeys(attributes))}
+    now = {c: f"now{i}" for i, c in enumerate(extra)}
     at = col(number).cast("long")
-    here = snapshots.select(*[col(k).alias(n) for k, n in zip(keys, ks)], at.alias("n"), *[col(c).alias(n) for c, n in now.items()])
-    before = snapshots.select(*[col(k).alias(n) for k, n in zip(keys, ps)], (at + 1).alias("pn"), *[col(c).alias(n) for c, n in was.items()])
-    on = _same([F.col(k) for k in ks], [F.col(p) for p in ps]) & (F.col("n") == F.col("pn"))
-    j = here.join(before, on, "full_outer")
-    gone, new = F.col("n").isNull(), F.col("pn").isNull()
-    same = _same([F.col(now[a]) for a in attributes], [F.col(was[a]) for a in attributes])
+    here = rows.select(F.col(e).alias("e"), at.alias("n"), *[col(c).alias(n) for c, n in now.items()])
+    # Asking for all columns makes this side the same exchange as the other.
+    before = rows.where(all_columns(rows)).select(F.col(e).alias("pe"), (at + 1).alias("pn"), *[col(c).alias(n) for c, n in was.items()])
+    j = here.join(before, (F.col("e") == F.col("pe")) & (F.col("n") == F.col("pn")), "full_outer")
+    gone, new = F.col("e").isNull(), F.col("pe").isNull()
+    same = _same([F.col(now[a]) for a in was], [F.col(w) for w in was.values()])
     j = j.withColumn("event", F.when(gone, "deleted").when(new, "inserted").when(same, "unchanged").otherwise("changed"))
-    j = j.where(~gone) if last is None else j.where(~gone | (F.col("pn") <= last))
+    if last is not None:
+        j = j.where(~gone | (F.col("pn") <= last))
+    who = F.coalesce("e", "pe")
     return j.select(
-        *[F.coalesce(F.col(n), F.col(p)).alias(k) for k, n, p in zip(keys, ks, ps)], F.coalesce("n", "pn").alias(number), "event",
-        *[(F.when(gone, F.col(was[c])).otherwise(F.col(now[c])) if last is not None else F.col(now[c])).alias(c) for c in extra],
+        *[who.getField(f"k{i}").alias(k) for i, k in enumerate(keys)], F.coalesce("n", "pn").alias(number), "event",
+        *[(F.coalesce(F.col(now[c]), F.when(gone, F.col(was[c]))) if c in was else F.col(now[c])).alias(c) for c in extra], *([who.alias(e)] if e in snapshots.columns else []),
     )
 
 
+def entity(keys: Sequence[str]) -> Column:
+    """The keys as one value: structs are equal where all fields are, nulls too, so plain joins and exchanges on it are null-safe."""
+    return F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+
+
+def entity_name(df: DataFrame) -> str:
+    return "__entity" if "__entity" in df.columns else free(df.columns, "__entity")[0]
+
+
 def _bucketed(df: DataFrame, keys: Sequence[str], at: str, tie: Sequence[Column], bucket: str, place: str, following: str | None = None, rank: bool = False, share: bool = False) -> DataFrame:
     """Add `place`, the row's number (with `rank`, its rank) within its `keys` by `at`; and `following`, the next row's `at`.
 
@@ -89,58 +103,84 @@ def _bucketed(df: DataFrame, keys: Sequence[str], at: str, tie: Sequence[Column]
     return j.select(*cols)
 
 
-def versions(observed: DataFrame, *, keys: Sequence[str], at: str, newest: Sequence[str], attributes: Sequence[str], json: Sequence[str] = (), bucket: str = "day") -> DataFrame:
+#: Rows above which an entity is cut into buckets of time.
+LARGE = 1_000_000
+
+
+def versions(observed: DataFrame, *, keys: Sequence[str], at: str, newest: Sequence[str], attributes: Sequence[str], json: Sequence[str] = (), bucket: str = "day", large: int = LARGE) -> DataFrame:
     """The distinct versions of each entity, from observations: the opening row's columns, `version`, `valid_from`, `valid_to`.
 
     Of rows equal in `keys` and `at` the greatest by `newest` counts. In order of `at`, a row opens a
     version if it is the entity's first or differs from the one before in `attributes`; null is a
     value, and columns named in `json` are compared as objects (null is the empty object). `valid_to`
     is when the next version begins, null for the current one. Rows without `at` can't be placed and
-    are left out; a null key is an entity like others. `bucket` is the width (a date_trunc unit) within
-    which one entity's rows stay in one task.
+    are left out; a null key is an entity like others.
+
+    An entity's k-th observation is its part of snapshot k. Entities of more than `large` rows are told
+    first, by a count combined on the map side; their rows, spread by `bucket` (a date_trunc unit), take a
+    longer way to the same result. The others are dealt out by entity once, and neither numbering nor the
+    outer join moves them again.
     """
     require(observed, *keys, at, *newest, *attributes)
     for c in ("version", "valid_from", "valid_to"):
         if c in observed.columns and c in (*keys, at, *newest, *attributes):
             raise ValueError(f"{c} is a result column")
     data = observed.drop("version", "valid_from", "valid_to")
-    rank, b, number, event = free(data.columns, "__rank", "__bucket", "__number", "event")
+    e, b, event, number, many = free(data.columns, "__entity", "__bucket", "event", "__number", "__many")
     compared = []
-    rows = data.where(col(at).isNotNull()).withColumn(b, F.date_trunc(bucket, col(at)))
+    rows = data.where(col(at).isNotNull()).withColumn(e, entity(keys))
     for a in attributes:
-        if a in json:
-            (c,) = free(rows.columns, f"__{a}")
-            rows = rows.withColumn(c, canonical_json(col(a)))
-            compared.append(c)
-        elif dict(data.dtypes)[a].startswith("map<"):
+        if a in json or dict(data.dtypes)[a].startswith("map<"):
             (c,) = free(rows.columns, f"__{a}")
-            rows = rows.withColumn(c, comparable(col(a)))
+            rows = rows.withColumn(c, canonical_json(col(a)) if a in json else comparable(col(a)))
             compared.append(c)
         else:
             compared.append(a)
-    # Same clustering as the counting below: one shuffle serves both.
-    instant = Window.partitionBy(*[col(k) for k in keys], col(b), col(at)).orderBy(*[col(n).desc_nulls_last() for n in newest])
-    single = rows.withColumn(rank, F.row_number().over(instant)).where(F.col(rank) == 1).drop(rank)
-    placed = _bucketed(single, keys, at, [], b, number)
-    changes = diff_snapshots(placed, keys, number, compared).where("event in ('inserted', 'changed')").drop(number, "event")
-    numbered = _bucketed(changes, keys, at, [], b, "version", "valid_to")
-    return numbered.select(*[col(c) for c in data.columns], "version", col(at).alias("valid_from"), "valid_to")
+    counts = rows.groupBy(e).agg(F.count(F.lit(1)).alias(many)).where(F.col(many) > large).select(F.col(e).alias(many))
+    hot = F.broadcast(counts)  # one row per `large` rows at most
+    out = [col(c) for c in data.columns]
+
+    def opened(placed: DataFrame) -> DataFrame:
+        """The change events: openings, and an end after each entity's last row."""
+        return diff_snapshots(placed, keys, number, compared).where("event <> 'unchanged'")
+
+    common = rows.join(hot, F.col(e) == F.col(many), "left_anti")
+    instant = Window.partitionBy(e, col(at)).orderBy(*[col(n).desc_nulls_last() for n in newest])
+    by_entity = Window.partitionBy(e).orderBy(col(at))
+    dealt_out = common.repartition(F.col(e)).withColumn(b, F.row_number().over(instant)).where(F.col(b) == 1)
+    placed = dealt_out.drop(b).withColumn(number, F.row_number().over(by_entity))
+    events = Window.partitionBy(e).orderBy(number)
+    spans = opened(placed).withColumn("version", F.row_number().over(events)).withColumn("valid_to", F.lead(col(at)).over(events))
+    usual = spans.where(F.col(event) != "deleted").select(*out, "version", col(at).alias("valid_from"), "valid_to")
+
+    spread = rows.join(hot, F.col(e) == F.col(many), "left_semi").withColumn(b, F.date_trunc(bucket, col(at)))
+    instant = Window.partitionBy(e, b, col(at)).orderBy(*[col(n).desc_nulls_last() for n in newest])
+    single = spread.withColumn(many, F.row_number().over(instant)).where(F.col(many) == 1).drop(many)
+    changes = opened(_bucketed(single, [e], at, [], b, number)).where(F.col(event) != "deleted").drop(number, event)
+    numbered = _bucketed(changes, [e], at, [], b, "version", "valid_to")
+    return usual.unionByName(numbered.select(*out, "version", col(at).alias("valid_from"), "valid_to"))
 
 
 def from_snapshots(snapshots: DataFrame, *, keys: Sequence[str], taken_at: str, attributes: Sequence[str]) -> DataFrame:
     """History from periodic snapshots: keys, attributes, `valid_from`, `valid_to`, `deleted`.
 
     Every distinct `taken_at` is a snapshot of the whole table. An entity missing from a snapshot was
-    deleted then; that closes its version, and if it appears again a new one begins. The list of
-    snapshot times (not of rows) is numbered in one task.
+    deleted then; that closes its version, and if it appears again a new one begins. Of several rows of
+    an entity in one snapshot the greatest counts; rows without `taken_at` are in none. The list of snapshot
+    times (not of rows) is numbered in one task, and an entity has at most one row per snapshot.
     """
     require(snapshots, *keys, taken_at, *attributes)
+    kinds = dict(snapshots.dtypes)
     times = snapshots.where(col(taken_at).isNotNull()).select(col(taken_at).alias("__t")).distinct()
-    times = times.select("__t", F.row_number().over(Window.orderBy("__t")).alias("__n"))
-    one = snapshots.select(*[col(k) for k in keys], col(taken_at).alias("__t"), *[col(a) for a in attributes]).dropDuplicates([*keys, "__t"])
-    numbered = one.join(times, "__t").select(*[col(k) for k in keys], "__n", *[col(a) for a in attributes])
-    events = diff_snapshots(numbered, keys, "__n", attributes, times.agg(F.max("__n")).scalar()).where("event <> 'unchanged'")
-    dated = events.join(times, "__n").drop("__n")
-    w = Window.partitionBy(*[col(k) for k in keys]).orderBy("__t")
-    spans = dated.withColumn("valid_to", F.lead("__t").over(w)).withColumn("__next", F.lead("event").over(w))
-    return spans.where("event <> 'deleted'").select(*[col(k) for k in keys], *[col(a) for a in attributes], F.col("__t").alias("valid_from"), "valid_to", F.coalesce(F.col("__next") == "deleted", F.lit(False)).alias("deleted"))
+    times = materialise(times.select("__t", F.row_number().over(Window.orderBy("__t")).alias("__n")), "snapshots")
+    maps = [a for a in attributes if kinds[a].startswith("map<")]
+    best = F.max(F.struct(*[(comparable(col(a)) if a in maps else col(a)).alias(f"a{i}") for i, a in enumerate(attributes)]))
+    one = snapshots.where(col(taken_at).isNotNull()).groupBy(entity(keys).alias("__entity"), col(taken_at).alias("__t")).agg(best.alias("__a"))
+    cols = [f"__a{i}" for i in range(len(attributes))]
+    numbered = one.join(times, "__t").select("__entity", "__n", *[F.col("__a")[f"a{i}"].alias(c) for i, c in enumerate(cols)])
+    named = numbered.select(*[F.col("__entity")[f"k{i}"].alias(f"__k{i}") for i in range(len(keys))], "__n", *cols)
+    events = diff_snapshots(named, [f"__k{i}" for i in range(len(keys))], "__n", cols, times.agg(F.max("__n")).scalar()).where("event <> 'unchanged'")
+    w = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy("__t")
+    spans = events.join(times, "__n").withColumn("valid_to", F.lead("__t").over(w)).withColumn("__next", F.lead("event").over(w))
+    back = [(F.map_from_entries(F.col(c)) if a in maps else F.col(c)).alias(a) for a, c in zip(attributes, cols)]
+    return spans.where("event <> 'deleted'").select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], *back, F.col("__t").alias("valid_from"), "valid_to", F.coalesce(F.col("__next") == "deleted", F.lit(False)).alias("deleted"))

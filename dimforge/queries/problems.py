@@ -226,12 +226,20 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_history(spark: SparkSession, sf: str) -> DataFrame:
     """The versions with the period each was valid."""
-    return _versions(spark, sf).select("tenant_id", "user_id", "version", "user_account_state_type_id", "hr_user_account_state_type_id", "valid_from", "valid_to")
+    return _versions(spark, sf).select("tenant_id", "user_id", "version", "user_account_state_type_id", "hr_user_account_state_type_id", "preferences", "valid_from", "valid_to")
+
+
+def p5_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """History from a snapshot per quarter of the users observed in it: those not observed in the next one are deleted then."""
+    u = table(spark, sf, "user_dimension").select("id", "tenant_id", "user_id", "start_at", "last_modified_at", F.date_trunc("quarter", "start_at").cast("timestamp_ntz").alias("quarter"), "user_account_state_type_id", "hr_user_account_state_type_id")
+    states = ["user_account_state_type_id", "hr_user_account_state_type_id"]
+    last = u.groupBy("tenant_id", "user_id", "quarter").agg(F.max(F.struct("start_at", "last_modified_at", "id", *states)).alias("s"))
+    return history.from_snapshots(last.select("tenant_id", "user_id", "quarter", "s.*"), keys=["tenant_id", "user_id"], taken_at="quarter", attributes=states)
 
 
 _P5 = """
 with d as (
-  select * exclude (preferences), case when preferences is null then '{}' else
+  select *, case when preferences is null then '{}' else
     (select '{' || coalesce(string_agg(to_json(k)::varchar || ':' || (preferences::json -> ('$."' || k || '"'))::varchar, ',' order by k), '') || '}' from unnest(json_keys(preferences::json)) t(k)) end as prefs
   from user_dimension
   qualify row_number() over (partition by tenant_id, user_id, start_at order by last_modified_at desc, id desc) = 1
@@ -245,7 +253,25 @@ with d as (
 )
 """
 P5_FOUND = _P5 + "select tenant_id, user_id, vn as version, id from v"
-P5_HISTORY = _P5 + "select tenant_id, user_id, vn as version, user_account_state_type_id, hr_user_account_state_type_id, start_at as valid_from, nxt as valid_to from v"
+P5_HISTORY = _P5 + "select tenant_id, user_id, vn as version, user_account_state_type_id, hr_user_account_state_type_id, preferences, start_at as valid_from, nxt as valid_to from v"
+P5_SNAPSHOTS = """
+with q as (
+  select tenant_id, user_id, user_account_state_type_id as a, hr_user_account_state_type_id as b, date_trunc('quarter', start_at)::timestamp as t from user_dimension where start_at is not null
+  qualify row_number() over (partition by tenant_id, user_id, t order by start_at desc, last_modified_at desc nulls last, id desc) = 1
+), n as (
+  select *, dense_rank() over (order by t) as n from q
+), l as (
+  select *, lag(n) over w as pn, lag(a) over w as pa, lag(b) over w as pb, lead(n) over w as nn from n window w as (partition by tenant_id, user_id order by n)
+), e as (
+  select tenant_id, user_id, a, b, n, false as gone from l where pn is distinct from n - 1 or pa is distinct from a or pb is distinct from b
+  union all
+  select tenant_id, user_id, null, null, n + 1, true from l where nn is distinct from n + 1 and n < (select max(n) from n)
+), v as (
+  select *, lead(n) over w as later, coalesce(lead(gone) over w, false) as deleted from e window w as (partition by tenant_id, user_id order by n)
+), times as (select distinct n, t from n)
+select tenant_id, user_id, a as user_account_state_type_id, b as hr_user_account_state_type_id, x.t as valid_from, y.t as valid_to, deleted
+from v join times x on x.n = v.n left join times y on y.n = v.later where not gone
+"""
 
 
 # 7 ------------------------------------------------------------------------------- dangling references
@@ -286,9 +312,9 @@ P7_FOUND = P7_FOUND + "select * from r where kind is not null"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p1_found, p1_state, p1_held, p2_found, p2_attributes, p3_found, p3_loaded, p4_found, p4_loaded, p5_found, p5_history, p6_found, p7_found, p7_report)
+    names = (p1_found, p1_state, p1_held, p2_found, p2_attributes, p3_found, p3_loaded, p4_found, p4_loaded, p5_found, p5_history, p5_snapshots, p6_found, p7_found, p7_report)
     return {f.__name__: f for f in names}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_state": P1_STATE, "p1_held": P1_HELD, "p3_found": P3_FOUND, "p3_loaded": P3_LOADED, "p5_found": P5_FOUND, "p5_history": P5_HISTORY, "p7_found": P7_FOUND, "p7_report": P7_REPORT}
+    return {"p1_found": P1_FOUND, "p1_state": P1_STATE, "p1_held": P1_HELD, "p3_found": P3_FOUND, "p3_loaded": P3_LOADED, "p5_found": P5_FOUND, "p5_history": P5_HISTORY, "p5_snapshots": P5_SNAPSHOTS, "p7_found": P7_FOUND, "p7_report": P7_REPORT}

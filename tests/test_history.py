@@ -38,6 +38,11 @@ def test_random_observations(spark):
     starts = {(t, u, v): s for t, u, v, _, s in want}
     assert all(r.valid_to == starts.get((r.tenant, r.uid, r.version + 1)) for r in got)
     assert history.versions(df.limit(0), **ARGS).count() == 0
+    key = lambda r: (r.tenant, r.uid, r.version, r.id, r.valid_from, str(r.valid_to))
+    for large in (0, 90):  # all, or some, of the entities cut into buckets
+        assert sorted(map(key, history.versions(df, **ARGS, large=large).collect())) == sorted(map(key, got))
+    plan = history.versions(df, **ARGS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join FullOuter" in plan
 
 
 def test_null_keys_are_entities(spark):
@@ -51,6 +56,8 @@ def test_snapshots(spark):
     df = spark.createDataFrame([(k, v, T0 + timedelta(days=n)) for k, v, n in rows], "k int, v string, taken timestamp_ntz")
     got = sorted((r.k, str(r.v), r.valid_from.day - 1, r.valid_to.day - 1 if r.valid_to else None, r.deleted) for r in history.from_snapshots(df, keys=["k"], taken_at="taken", attributes=["v"]).collect())
     assert got == [(1, "a", 1, 2, False), (1, "b", 2, 4, True), (2, "a", 1, 2, True), (2, "c", 4, None, False), (3, "None", 3, None, False)]
+    twice = df.unionByName(spark.createDataFrame([(1, "0", T0 + timedelta(days=3))], df.schema))
+    assert history.from_snapshots(twice, keys=["k"], taken_at="taken", attributes=["v"]).count() == 5
     assert history.from_snapshots(df.limit(0), keys=["k"], taken_at="taken", attributes=["v"]).count() == 0
 
 
