@@ -1,7 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
-from dimforge.operators.asof import known_at
+from dimforge.operators.asof import change_histories, known_at
 from tests.brute import micros, read_time
 
 T0 = datetime(2024, 1, 1)
@@ -20,11 +20,20 @@ def test_random(spark):
     hist += [(2, None, T0, 900, 1, None), (2, T0, None, 901, 1, None)]
     events = [(i, rnd.choice([1, 1, 2, 3, 4, None]), None if i % 31 == 0 else T0 + timedelta(hours=rnd.randrange(400)), i) for i in range(400)]
     e = spark.createDataFrame(events + events[:5], "n int, u long, t timestamp_ntz, id int")
-    got = known_at(e, spark.createDataFrame(hist, H), **ARGS, attributes=["id", "state", "prefs"]).collect()
-    assert len(got) == 405
-    for r in got:
-        want = brute(r.u, r.t, hist)
-        assert (r.known_id, r.known_state, r.known_prefs) == ((want[3], want[4], want[5]) if want else (None, None, None)), r
+    h = spark.createDataFrame(hist, H)
+    for large in (10**6, 40, 0):  # no entity, the larger ones, all of them spread over buckets and salts
+        got = known_at(e, h, **ARGS, attributes=["id", "state", "prefs"], large=large, salts=3).collect()
+        assert len(got) == 405
+        for r in got:
+            want = brute(r.u, r.t, hist)
+            assert (r.known_id, r.known_state, r.known_prefs) == ((want[3], want[4], want[5]) if want else (None, None, None)), (large, r)
+
+
+def test_histories_hold_changes_only(spark):
+    rows = [(1, T0, T0, 1, 5, "a"), (1, T0 + timedelta(days=1), T0, 2, 5, "b"), (1, T0 + timedelta(days=2), T0, 3, 6, "b"), (1, T0 + timedelta(hours=1), T0 + timedelta(days=3), 4, 9, "late")]
+    got = change_histories(spark.createDataFrame(rows, H), entity="uid", valid_from="start_at", known_from="seen", tie="id", attributes=["state", "prefs"])
+    said = [(r.c0.value if r.c0 else "-", r.c1.value if r.c1 else "-") for r in got.orderBy("at").collect()]
+    assert said == [(5, "a"), ("-", "b"), (6, "-")]  # the late row was never the newest known
 
 
 def test_empty_sides_and_clashing_names(spark):
