@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from dimforge.functions.merge import comparable
@@ -107,8 +107,8 @@ def _bucketed(df: DataFrame, keys: Sequence[str], at: str, tie: Sequence[Column]
 LARGE = 1_000_000
 
 
-def versions(observed: DataFrame, *, keys: Sequence[str], at: str, newest: Sequence[str], attributes: Sequence[str], json: Sequence[str] = (), bucket: str = "day", large: int = LARGE) -> DataFrame:
-    """The distinct versions of each entity, from observations: the opening row's columns, `version`, `valid_from`, `valid_to`.
+def versions(observed: DataFrame, *, keys: Sequence[str], at: str, newest: Sequence[str], attributes: Sequence[str], json: Sequence[str] = (), keep: Sequence[str] | None = None, bucket: str = "day", large: int = LARGE) -> DataFrame:
+    """The distinct versions of each entity, from observations: the opening row's columns (keys, `at` and `keep`; all, for None), `version`, `valid_from`, `valid_to`.
 
     Of rows equal in `keys` and `at` the greatest by `newest` counts. In order of `at`, a row opens a
     version if it is the entity's first or differs from the one before in `attributes`; null is a
@@ -126,39 +126,38 @@ def versions(observed: DataFrame, *, keys: Sequence[str], at: str, newest: Seque
         if c in observed.columns and c in (*keys, at, *newest, *attributes):
             raise ValueError(f"{c} is a result column")
     data = observed.drop("version", "valid_from", "valid_to")
-    e, b, event, number, many = free(data.columns, "__entity", "__bucket", "event", "__number", "__many")
-    compared = []
-    rows = data.where(col(at).isNotNull()).withColumn(e, entity(keys))
-    for a in attributes:
-        if a in json or dict(data.dtypes)[a].startswith("map<"):
-            (c,) = free(rows.columns, f"__{a}")
-            rows = rows.withColumn(c, canonical_json(col(a)) if a in json else comparable(col(a)))
-            compared.append(c)
-        else:
-            compared.append(a)
+    kept = [c for c in data.columns if c not in keys and c != at] if keep is None else [c for c in keep if c not in keys and c != at]
+    kinds = dict(data.dtypes)
+    e, b, event, number, many, t = free(data.columns, "__entity", "__bucket", "event", "__number", "__many", "__at")
+    new, own = [f"__new{i}" for i in range(len(newest))], [f"__own{i}" for i in range(len(kept))]
+    compared = [f"__cmp{i}" for i in range(len(attributes))]
+    forms = [canonical_json(col(a)) if a in json else comparable(col(a)) if kinds[a].startswith("map<") else col(a) for a in attributes]
+    # Only what is needed, under names of its own, so that all branches below ask the same of one exchange.
+    rows = data.where(col(at).isNotNull()).select(entity(keys).alias(e), col(at).alias(t), *[col(c).alias(n) for c, n in zip(newest, new)], *[f.alias(n) for f, n in zip(forms, compared)], *[col(c).alias(n) for c, n in zip(kept, own)])
     counts = rows.groupBy(e).agg(F.count(F.lit(1)).alias(many)).where(F.col(many) > large).select(F.col(e).alias(many))
     hot = F.broadcast(counts)  # one row per `large` rows at most
-    out = [col(c) for c in data.columns]
+    back = dict(zip([at, *kept], [t, *own])) | {k: None for k in keys}
+    out = [F.col(e)[f"k{list(keys).index(c)}"].alias(c) if c in keys else F.col(back[c]).alias(c) for c in data.columns if c in back]
 
     def opened(placed: DataFrame) -> DataFrame:
         """The change events: openings, and an end after each entity's last row."""
-        return diff_snapshots(placed, keys, number, compared).where("event <> 'unchanged'")
+        return diff_snapshots(placed, [], number, compared).where("event <> 'unchanged'")
 
-    common = rows.join(hot, F.col(e) == F.col(many), "left_anti")
-    instant = Window.partitionBy(e, col(at)).orderBy(*[col(n).desc_nulls_last() for n in newest])
-    by_entity = Window.partitionBy(e).orderBy(col(at))
-    dealt_out = common.repartition(F.col(e)).withColumn(b, F.row_number().over(instant)).where(F.col(b) == 1)
-    placed = dealt_out.drop(b).withColumn(number, F.row_number().over(by_entity))
+    def newest_first(*by: str) -> WindowSpec:
+        return Window.partitionBy(*by).orderBy(*[F.col(n).desc_nulls_last() for n in new])
+
+    common = rows.join(hot, F.col(e) == F.col(many), "left_anti").repartition(F.col(e))
+    single = common.withColumn(b, F.row_number().over(newest_first(e, t))).where((F.col(b) == 1) & all_columns(common)).drop(b)
+    placed = single.withColumn(number, F.row_number().over(Window.partitionBy(e).orderBy(t)))
     events = Window.partitionBy(e).orderBy(number)
-    spans = opened(placed).withColumn("version", F.row_number().over(events)).withColumn("valid_to", F.lead(col(at)).over(events))
-    usual = spans.where(F.col(event) != "deleted").select(*out, "version", col(at).alias("valid_from"), "valid_to")
-
-    spread = rows.join(hot, F.col(e) == F.col(many), "left_semi").withColumn(b, F.date_trunc(bucket, col(at)))
-    instant = Window.partitionBy(e, b, col(at)).orderBy(*[col(n).desc_nulls_last() for n in newest])
-    single = spread.withColumn(many, F.row_number().over(instant)).where(F.col(many) == 1).drop(many)
-    changes = opened(_bucketed(single, [e], at, [], b, number)).where(F.col(event) != "deleted").drop(number, event)
-    numbered = _bucketed(changes, [e], at, [], b, "version", "valid_to")
-    return usual.unionByName(numbered.select(*out, "version", col(at).alias("valid_from"), "valid_to"))
+    spans = opened(placed).withColumn("version", F.row_number().over(events)).withColumn("valid_to", F.lead(t).over(events))
+    usual = spans.where(F.col(event) != "deleted").select(*out, "version", F.col(t).alias("valid_from"), "valid_to")
+
+    spread = rows.join(hot, F.col(e) == F.col(many), "left_semi").withColumn(b, F.date_trunc(bucket, F.col(t)))
+    single = spread.withColumn(many, F.row_number().over(newest_first(e, b, t))).where(F.col(many) == 1).drop(many)
+    changes = opened(_bucketed(single, [e], t, [], b, number)).where(F.col(event) != "deleted").drop(number, event)
+    numbered = _bucketed(changes, [e], t, [], b, "version", "valid_to")
+    return usual.unionByName(numbered.select(*out, "version", F.col(t).alias("valid_from"), "valid_to"))
 
 
 def from_snapshots(snapshots: DataFrame, *, keys: Sequence[str], taken_at: str, attributes: Sequence[str]) -> DataFrame:

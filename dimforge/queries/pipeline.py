@@ -52,7 +52,7 @@ def _load(spark: SparkSession, sf: str, stage: DataFrame) -> DataFrame:
         "line_id", F.col("tenant_dimension_tenant_id").alias("tenant.tenant_id"), F.col("tenant_dimension_tenant_id").alias("user.tenant_id"), F.col("user_dimension_user_id").alias("user.user_id"),
         F.col("feature_type_name").alias("feature.name"), F.col("time_key").cast("long").alias("time_key"), "total",
     )
-    users = problems._versions(spark, sf).select("id", "tenant_id", "user_id", "version", F.col("valid_from").alias("start_at"), F.col("valid_to").alias("end_at"))
+    users = problems._versions(spark, sf, "id").select("id", "tenant_id", "user_id", "version", F.col("valid_from").alias("start_at"), F.col("valid_to").alias("end_at"))
     members = {"tenant_dimension": table(spark, sf, "tenant_dimension"), "user_dimension": users, "feature_type": table(spark, sf, "feature_type")}
     return load.load_fact(rows, _catalog().w.visits_hourly_fact, members)[0]
 
