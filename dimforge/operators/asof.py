@@ -88,13 +88,17 @@ def change_histories(history: DataFrame, *, entity: str, valid_from: str, known_
     return changes(usual, ["e"]).unionByName(changes(bucketed, ["e", "b"]))
 
 
-def last_known(events: DataFrame, changes: DataFrame, *, entity: str, time: str, kinds: Sequence[T.DataType], bucket_us: int = DAY_US, large: int = LARGE, salts: int = SALTS) -> DataFrame:
-    """`event` (a struct of the columns of `events`) and, per column of `changes` (see :func:`change_histories`), the last entry at or before it."""
+def last_known(events: DataFrame, changes: DataFrame, *, entity: str, time: str, kinds: Sequence[T.DataType], bucket_us: int = DAY_US, large: int = LARGE, salts: int = SALTS, crowd: DataFrame | None = None) -> DataFrame:
+    """`event` (a struct of the columns of `events`) and, per column of `changes` (see :func:`change_histories`), the last entry at or before it.
+
+    `crowd` is counted in place of `events` to find entities of very many rows: any table that has each of the
+    events' entities at least as often, where making `events` costs more than reading it.
+    """
     names = slots(len(kinds))
     body = F.struct(*[col(c) for c in events.columns])
     timed = col(entity).isNotNull() & col(time).isNotNull()
     at = micros(events, time)
-    hot = _many(events, entity, large)
+    hot = _many(events if crowd is None else crowd, entity, large)
 
     def matched(rows: DataFrame, keys: list[str]) -> DataFrame:
         so_far = Window.partitionBy(*keys).orderBy("at", F.col("event").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
@@ -121,19 +125,19 @@ def last_known(events: DataFrame, changes: DataFrame, *, entity: str, time: str,
     return found.unionByName(crowded)
 
 
-def known_at(events: DataFrame, history: DataFrame, *, entity: str, time: str, history_entity: str, valid_from: str, known_from: str, tie: str, attributes: Sequence[str], prefix: str = "known_", bucket_us: int = DAY_US, large: int = LARGE, salts: int = SALTS) -> DataFrame:
+def known_at(events: DataFrame, history: DataFrame, *, entity: str, time: str, history_entity: str, valid_from: str, known_from: str, tie: str, attributes: Sequence[str], prefix: str = "known_", bucket_us: int = DAY_US, large: int = LARGE, salts: int = SALTS, crowd: DataFrame | None = None) -> DataFrame:
     """`events` with, of each of `attributes`, the value valid and already known at column `time`.
 
     Among the history rows of the entity with both times at or before the event's, the greatest
     valid-from, then known-from, then `tie` counts. All event rows and columns are kept, repeated ones too;
     columns `prefix` + attribute are added, null where nothing was known (also for events without an
-    entity or time, and for an empty history).
+    entity or time, and for an empty history). `crowd`: see :func:`last_known`.
     """
     require(events, entity, time)
     outs = [prefix + a for a in attributes]
     if set(outs) & set(events.columns):
         raise ValueError(f"already columns: {sorted(set(outs) & set(events.columns))}")
     changes = change_histories(history, entity=history_entity, valid_from=valid_from, known_from=known_from, tie=tie, attributes=attributes, bucket_us=bucket_us, large=large)
-    found = last_known(events, changes, entity=entity, time=time, kinds=[history.schema[a].dataType for a in attributes], bucket_us=bucket_us, large=large, salts=salts)
+    found = last_known(events, changes, entity=entity, time=time, kinds=[history.schema[a].dataType for a in attributes], bucket_us=bucket_us, large=large, salts=salts, crowd=crowd)
     value = lambda c, a: F.map_from_entries(F.col(c)["value"]) if _is_map(history, a) else F.col(c)["value"]
     return found.select(*[F.col("event")[c].alias(c) for c in events.columns], *[value(c, a).alias(o) for c, a, o in zip(slots(len(attributes)), attributes, outs)])

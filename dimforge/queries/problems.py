@@ -136,7 +136,7 @@ def stage_instants(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 def _known(spark: SparkSession, sf: str, attributes: list[str]) -> DataFrame:
     events = stage_instants(spark, sf, "user_dimension_user_id").where("epoch_us is not null").select("line_id", "user_dimension_user_id", "epoch_us")
     users = table(spark, sf, "user_dimension").select("user_id", "start_at", "last_modified_at", F.col("id").alias("row_id"), F.col("id").alias("user_dimension_id"), *[a for a in attributes if a != "user_dimension_id"])
-    return asof.known_at(events, users, entity="user_dimension_user_id", time="epoch_us", history_entity="user_id", valid_from="start_at", known_from="last_modified_at", tie="row_id", attributes=attributes, prefix="known_")
+    return asof.known_at(events, users, entity="user_dimension_user_id", time="epoch_us", history_entity="user_id", valid_from="start_at", known_from="last_modified_at", tie="row_id", attributes=attributes, prefix="known_", crowd=table(spark, sf, "visits_file_fact_stage"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -214,19 +214,19 @@ def p4_loaded(spark: SparkSession, sf: str) -> DataFrame:
 # 5 --------------------------------------------------------------------------------- attribute history
 
 
-def _versions(spark: SparkSession, sf: str) -> DataFrame:
+def _versions(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     cols = ["id", "tenant_id", "user_id", "user_account_state_type_id", "hr_user_account_state_type_id", "preferences", "start_at", "last_modified_at"]
     attributes = ["user_account_state_type_id", "hr_user_account_state_type_id", "preferences"]
-    return history.versions(table(spark, sf, "user_dimension").select(*cols), keys=["tenant_id", "user_id"], at="start_at", newest=["last_modified_at", "id"], attributes=attributes, json=["preferences"])
+    return history.versions(table(spark, sf, "user_dimension").select(*cols), keys=["tenant_id", "user_id"], at="start_at", newest=["last_modified_at", "id"], attributes=attributes, json=["preferences"], keep=keep)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _versions(spark, sf).select("tenant_id", "user_id", "version", "id")
+    return _versions(spark, sf, "id").select("tenant_id", "user_id", "version", "id")
 
 
 def p5_history(spark: SparkSession, sf: str) -> DataFrame:
     """The versions with the period each was valid."""
-    return _versions(spark, sf).select("tenant_id", "user_id", "version", "user_account_state_type_id", "hr_user_account_state_type_id", "preferences", "valid_from", "valid_to")
+    return _versions(spark, sf, "user_account_state_type_id", "hr_user_account_state_type_id", "preferences").select("tenant_id", "user_id", "version", "user_account_state_type_id", "hr_user_account_state_type_id", "preferences", "valid_from", "valid_to")
 
 
 def p5_snapshots(spark: SparkSession, sf: str) -> DataFrame:
