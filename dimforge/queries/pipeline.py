@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dimforge import session
 from dimforge.operators import load, mapping, timestamps
-from dimforge.queries import problems
+from dimforge.queries import oracle, problems
 from dimforge.queries.warehouse import table
 from dimforge.schema import types
 from dimforge.schema.model import Catalog, Column, Reference, Table
@@ -30,7 +30,7 @@ def query(sql: str) -> Callable:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{session.shared_dir(spark).rstrip('/')}/query-{uuid.uuid4().hex}"
+    return f"{session.work_dir(spark)}/query-{uuid.uuid4().hex}"
 
 
 # ------------------------------------------------------------------------------------------ loads
@@ -47,7 +47,7 @@ def _catalog() -> Catalog:
 
 
 def _load(spark: SparkSession, sf: str, stage: DataFrame) -> DataFrame:
-    """Facts of stage rows whose time_key is in epoch seconds."""
+    """Facts of stage rows whose `time_key` has been made epoch seconds."""
     rows = stage.select(
         "line_id", F.col("tenant_dimension_tenant_id").alias("tenant.tenant_id"), F.col("tenant_dimension_tenant_id").alias("user.tenant_id"), F.col("user_dimension_user_id").alias("user.user_id"),
         F.col("feature_type_name").alias("feature.name"), F.col("time_key").cast("long").alias("time_key"), "total",
@@ -58,11 +58,7 @@ def _load(spark: SparkSession, sf: str, stage: DataFrame) -> DataFrame:
 
 
 def _loaded(spark: SparkSession, sf: str) -> DataFrame:
-    """Only the rows with bare epoch seconds, as the SQL has it; :func:`_loaded_all` takes all notations."""
-    return _load(spark, sf, table(spark, sf, "visits_file_fact_stage").where(F.col("time_key").rlike("^[0-9]{10}$")))
-
-
-def _loaded_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All stage rows whose time denotes one instant, in any notation; :func:`load_rejects` has the others."""
     timed = problems.stage_instants(spark, sf, "user_dimension_user_id", "feature_type_name", "total").where("epoch_us is not null")
     return _load(spark, sf, timed.withColumn("time_key", F.expr("(epoch_us - pmod(epoch_us, 1000000)) div 1000000")))
 
@@ -80,9 +76,9 @@ def _denormalized(spark: SparkSession, sf: str, loaded: DataFrame) -> DataFrame:
     return flat.select("tenant_dimension_tenant_id", "feature_type_name", "line_id", "total")
 
 
-_LOADED = problems._P5 + """, s as (
-  select line_id, tenant_dimension_tenant_id as tn, user_dimension_user_id as us, feature_type_name as ft, cast(time_key as bigint) as tk, make_timestamp(cast(time_key as bigint) * 1000000) as ts, total
-  from visits_file_fact_stage where regexp_full_match(time_key, '[0-9]{10}')
+_LOADED = "with " + oracle.times(oracle.STAGE) + ", " + problems._P5.strip().removeprefix("with ") + """, s as (
+  select line_id, tenant_dimension_tenant_id as tn, user_dimension_user_id as us, feature_type_name as ft, epoch_us // 1000000 as tk, make_timestamp(epoch_us // 1000000 * 1000000) as ts, total
+  from visits_file_fact_stage join instants on row_id = line_id where epoch_us is not null
 ), facts as (
   select coalesce(t.id, -2) as tenant_dimension_id, coalesce(u.id, -2) as user_dimension_id, coalesce(f.id, -2) as feature_type_id, s.line_id, s.total, s.tk as time_key,
     'y' || strftime(s.ts, '%Y') || 'm' || strftime(s.ts, '%m') as period
@@ -109,29 +105,13 @@ def load_and_denormalize(spark, sf):
     return _denormalized(spark, sf, _loaded(spark, sf))
 
 
-def load_fact_visits_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts of all stage rows whose time can be read, in any notation; :func:`load_rejects` has the others."""
-    return _loaded_all(spark, sf)
-
-
-def load_and_roll_up_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _rolled_up(_loaded_all(spark, sf))
-
-
-def load_and_denormalize_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _denormalized(spark, sf, _loaded_all(spark, sf))
-
-
-def load_rejects(spark: SparkSession, sf: str) -> DataFrame:
+@query("with " + oracle.times(oracle.STAGE) + "select row_id as line_id, case when readable then 'no single instant' else 'unreadable' end as reason from instants where epoch_us is null")
+def load_rejects(spark, sf):
     """Stage rows that no load takes in: their time can't be read, or is no single instant."""
     reason = F.when(F.col("readable"), "no single instant").otherwise("unreadable")
     return problems.stage_instants(spark, sf).where("epoch_us is null").select("line_id", reason.alias("reason"))
 
 
-# Times in all notations have no SQL; tests hold these against plain Python.
-_QUERIES |= {f.__name__: f for f in (load_fact_visits_all, load_and_roll_up_all, load_and_denormalize_all, load_rejects)}
-
-
 @query(
     "select c_custkey, case when c_custkey % 3 = 0 then upper(c_name) else c_name end as c_name, c_mktsegment as segment from customer"
 )
@@ -177,14 +157,8 @@ def json_lines_scan(spark, sf):
     return files.read_json_lines(spark, where, "event_id bigint, k int")
 
 
-@query("select o_orderkey, case when year(o_orderdate) = 1996 and month(o_orderdate) = 2 then -o_custkey else o_custkey end as o_custkey, 'y' || strftime(o_orderdate, '%Y') || 'm' || strftime(o_orderdate, '%m') as period from orders where year(o_orderdate) = 1996")
-def replace_one_period(spark, sf):
-    """Only orders of 1996, as the SQL has it; :func:`replace_one_period_all` keeps all periods."""
-    return _replaced(spark, table(spark, sf, "orders").where(F.year("o_orderdate") == 1996))
-
-
 @query("select o_orderkey, case when year(o_orderdate) = 1996 and month(o_orderdate) = 2 then -o_custkey else o_custkey end as o_custkey, 'y' || strftime(o_orderdate, '%Y') || 'm' || strftime(o_orderdate, '%m') as period from orders")
-def replace_one_period_all(spark, sf):
+def replace_one_period(spark, sf):
     return _replaced(spark, table(spark, sf, "orders"))
 
 

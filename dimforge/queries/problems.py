@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dimforge import session
 from dimforge.operators import asof, changefeed, history, incremental, orphans, rejects, timestamps
 from dimforge.operators.rejects import Field
+from dimforge.queries import oracle
 from dimforge.sources import fs
 
 USER_FIELDS = (Field("id", "whole", True), Field("tenant_id", "whole", True), Field("admin", "boolean"), Field("preferences", "mapping"), Field("deleted_at", "time"))
@@ -157,6 +158,21 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return pick(deleted, "user_file").unionByName(pick(stage_instants(spark, sf), "visits_file_fact_stage"))
 
 
+_KNOWN = "with " + oracle.times(oracle.STAGE) + """, e as (
+  select line_id, user_dimension_user_id, epoch_us from visits_file_fact_stage join instants on row_id = line_id where epoch_us is not null
+), k as (
+  select e.line_id, u.* from e join user_dimension u on u.user_id = e.user_dimension_user_id and epoch_us(u.start_at) <= epoch_us and epoch_us(u.last_modified_at) <= epoch_us
+  qualify row_number() over (partition by e.line_id order by u.start_at desc, u.last_modified_at desc, u.id desc) = 1
+)
+"""
+P2_FOUND = _KNOWN + "select line_id, id as user_dimension_id from k"
+P2_ATTRIBUTES = _KNOWN + """
+select e.*, k.id as known_user_dimension_id, k.user_account_state_type_id as known_user_account_state_type_id, k.hr_user_account_state_type_id as known_hr_user_account_state_type_id, k.preferences as known_preferences
+from e left join k on k.line_id = e.line_id
+"""
+P6_FOUND = "with " + oracle.RECORDS + ", " + oracle.times(f"(from {oracle.DELETED} union all from {oracle.STAGE})") + "select src as source_name, row_id, epoch_us from instants where epoch_us is not null and not plain"
+
+
 # 3 ----------------------------------------------------------------------------- new or changed rows
 
 
@@ -206,6 +222,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return rejects.rejected(parsed).select("line_id", "reason")
 
 
+P4_FOUND = "with " + oracle.RECORDS + ", " + oracle.times(oracle.DELETED) + """
+select line_id, reason from records where reason is not null union all select row_id, 'deleted_at' from instants where not readable and v <> ''
+"""
+
+
 def p4_loaded(spark: SparkSession, sf: str) -> DataFrame:
     """The loadable records as users."""
     return rejects.load(table(spark, sf, "user_file"), "raw_line", USER_FIELDS, zone=zones(spark, sf), zone_key="tenant_id", keep=["line_id"], line_no="line_no")
@@ -317,4 +338,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_state": P1_STATE, "p1_held": P1_HELD, "p3_found": P3_FOUND, "p3_loaded": P3_LOADED, "p5_found": P5_FOUND, "p5_history": P5_HISTORY, "p5_snapshots": P5_SNAPSHOTS, "p7_found": P7_FOUND, "p7_report": P7_REPORT}
+    return {"p2_found": P2_FOUND, "p2_attributes": P2_ATTRIBUTES, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p1_found": P1_FOUND, "p1_state": P1_STATE, "p1_held": P1_HELD, "p3_found": P3_FOUND, "p3_loaded": P3_LOADED, "p5_found": P5_FOUND, "p5_history": P5_HISTORY, "p5_snapshots": P5_SNAPSHOTS, "p7_found": P7_FOUND, "p7_report": P7_REPORT}

@@ -42,9 +42,9 @@ def test_all_rows_are_loaded_or_rejected(spark, data):
     assert notations[False] > 100 and len(set(rejected.values())) == 2
 
     keys = ("tenant_dimension_id", "user_dimension_id", "feature_type_id", "line_id", "total", "time_key", "period")
-    assert Counter(tuple(r[k] for k in keys) for r in pipeline.load_fact_visits_all(spark, data).collect()) == facts
+    assert Counter(tuple(r[k] for k in keys) for r in pipeline.load_fact_visits(spark, data).collect()) == facts
     assert {r.line_id: r.reason for r in pipeline.load_rejects(spark, data).collect()} == rejected
-    got = {(r.date_id, r.tenant_dimension_id, r.feature_type_id, r.time_key): r.total or 0 for r in pipeline.load_and_roll_up_all(spark, data).collect()}
+    got = {(r.date_id, r.tenant_dimension_id, r.feature_type_id, r.time_key): r.total or 0 for r in pipeline.load_and_roll_up(spark, data).collect()}
     assert got == dict(rolled)
     named = {i: n for n, i in features.items()}
     want = Counter({(t, n, line, total): c for (t, n, line, total), c in flat.items()})
@@ -52,11 +52,11 @@ def test_all_rows_are_loaded_or_rejected(spark, data):
         want = Counter()
         for (t, n, line, total), c in flat.items():
             want[t, named[-2] if n is None else n, line, total] += c
-    assert Counter((r.tenant_dimension_tenant_id, r.feature_type_name, r.line_id, r.total) for r in pipeline.load_and_denormalize_all(spark, data).collect()) == want
+    assert Counter((r.tenant_dimension_tenant_id, r.feature_type_name, r.line_id, r.total) for r in pipeline.load_and_denormalize(spark, data).collect()) == want
 
 
 def test_all_periods_are_kept_when_one_is_replaced(spark, data):
-    """All orders are written and read back; the SQL of both queries is compared in test_queries."""
+    """All orders are written and read back."""
     want = spark.read.parquet(f"{data}/orders.parquet").selectExpr("count(*)", "count(distinct date_trunc('month', o_orderdate))", "count_if(year(o_orderdate) = 1996 and month(o_orderdate) = 2)").first()
-    got = pipeline.replace_one_period_all(spark, data).selectExpr("count(*)", "count(distinct period)", "count_if(o_custkey < 0)").first()
+    got = pipeline.replace_one_period(spark, data).selectExpr("count(*)", "count(distinct period)", "count_if(o_custkey < 0)").first()
     assert tuple(got) == tuple(want) and got[1] > 12
