@@ -21,10 +21,9 @@ from pyspark.sql import types as T
 
 from dimforge.functions.merge import comparable
 from dimforge.functions.names import col, require
+from dimforge.operators.scan import LARGE, large_keys
 
 DAY_US = 86_400_000_000
-#: Rows above which an entity is spread over buckets and salts.
-LARGE = 1_000_000
 SALTS = 16
 
 
@@ -46,11 +45,6 @@ def slots(n: int) -> list[str]:
     return [f"c{i}" for i in range(n)]
 
 
-def _many(df: DataFrame, entity: str, large: int) -> DataFrame:
-    """Entities (`hot`) with more than `large` rows: at most one per `large` rows, so they may be broadcast."""
-    return F.broadcast(df.where(col(entity).isNotNull()).groupBy(col(entity).alias("hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("hot"))
-
-
 def change_histories(history: DataFrame, *, entity: str, valid_from: str, known_from: str, tie: str, attributes: Sequence[str], bucket_us: int = DAY_US, large: int = LARGE) -> DataFrame:
     """The change histories of `attributes`: `e`, `at` (microseconds) and a column `c0`, `c1`... for each attribute.
 
@@ -65,7 +59,7 @@ def change_histories(history: DataFrame, *, entity: str, valid_from: str, known_
     usable = history.where(col(entity).isNotNull() & col(valid_from).isNotNull() & col(known_from).isNotNull())
     rank = F.struct(since.alias("since"), seen.alias("seen"), col(tie).alias("tie"), values.alias("v"))
     rows = usable.select(col(entity).alias("e"), F.greatest(since, seen).alias("at"), rank.alias("rank"))
-    hot = _many(rows, "e", large)
+    hot = large_keys(rows, F.col("e"), large)
 
     def changes(ranked: DataFrame, keys: list[str]) -> DataFrame:
         """Of rows with `best`, what was known just after each, and `carried`, before the first: where an attribute changed."""
@@ -78,7 +72,9 @@ def change_histories(history: DataFrame, *, entity: str, valid_from: str, known_
 
     none = F.lit(None).cast(rows.schema["rank"].dataType)
     w = Window.partitionBy("e").orderBy("at")  # rows at one moment see each other
-    usual = rows.join(hot, F.col("e") == F.col("hot"), "left_anti").select("*", F.max("rank").over(w).alias("best"), none.alias("carried"))
+    usual = (rows if hot is None else rows.join(hot, F.col("e") == F.col("hot"), "left_anti")).select("*", F.max("rank").over(w).alias("best"), none.alias("carried"))
+    if hot is None:
+        return changes(usual, ["e"])
     spread = rows.join(hot, F.col("e") == F.col("hot"), "left_semi").withColumn("b", F.floor(F.col("at") / bucket_us))
     ends = spread.groupBy(F.col("e").alias("e2"), F.col("b").alias("b2")).agg(F.max("rank").alias("end"))
     earlier = Window.partitionBy("e2").orderBy("b2").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,17 +84,18 @@ def change_histories(history: DataFrame, *, entity: str, valid_from: str, known_
     return changes(usual, ["e"]).unionByName(changes(bucketed, ["e", "b"]))
 
 
-def last_known(events: DataFrame, changes: DataFrame, *, entity: str, time: str, kinds: Sequence[T.DataType], bucket_us: int = DAY_US, large: int = LARGE, salts: int = SALTS, crowd: DataFrame | None = None) -> DataFrame:
-    """`event` (a struct of the columns of `events`) and, per column of `changes` (see :func:`change_histories`), the last entry at or before it.
+def last_known(events: DataFrame, changes: DataFrame, *, entity: str, time: str, slots_used: int, bucket_us: int = DAY_US, large: int = LARGE, salts: int = SALTS, crowd: DataFrame | None = None) -> DataFrame:
+    """`event` (a struct of the columns of `events`) and, of the `slots_used` columns c0, c1... of `changes` (see :func:`change_histories`), the last entry at or before it.
 
     `crowd` is counted in place of `events` to find entities of very many rows: any table that has each of the
     events' entities at least as often, where making `events` costs more than reading it.
     """
-    names = slots(len(kinds))
+    names = slots(slots_used)
     body = F.struct(*[col(c) for c in events.columns])
     timed = col(entity).isNotNull() & col(time).isNotNull()
     at = micros(events, time)
-    hot = _many(events if crowd is None else crowd, entity, large)
+    of = events if crowd is None else crowd
+    hot = large_keys(of.where(col(entity).isNotNull()), col(entity), large)
 
     def matched(rows: DataFrame, keys: list[str]) -> DataFrame:
         so_far = Window.partitionBy(*keys).orderBy("at", F.col("event").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
@@ -106,9 +103,10 @@ def last_known(events: DataFrame, changes: DataFrame, *, entity: str, time: str,
 
     # Events that have no place match nothing; they are dealt over many groups of their own.
     lone = F.when(timed, F.lit(0)).otherwise(F.pmod(F.xxhash64(*[col(c) for c, k in events.dtypes if "map<" not in k]), F.lit(1 << 16)).cast("int") + 1)
-    usual = events.join(hot, col(entity) == F.col("hot"), "left_anti").select(F.when(timed, col(entity)).alias("e"), lone.alias("s"), at.alias("at"), body.alias("event"))
+    usual = (events if hot is None else events.join(hot, col(entity) == F.col("hot"), "left_anti")).select(F.when(timed, col(entity)).alias("e"), lone.alias("s"), at.alias("at"), body.alias("event"))
     found = matched(changes.select("e", F.lit(0).alias("s"), "at", *names).unionByName(usual, allowMissingColumns=True), ["e", "s"])
-
+    if hot is None:
+        return found
     theirs = changes.join(hot, F.col("e") == F.col("hot"), "left_semi").withColumn("b", F.floor(F.col("at") / bucket_us))
     ends = theirs.groupBy("e", "b").agg(*[F.max(F.when(F.col(c).isNotNull(), F.struct(F.col("at").alias("t"), F.col(c).alias("x")))).alias(c) for c in names])
     # An entity's buckets are the days of its changes; events belong to the last one begun, and are told apart by salt.
@@ -138,6 +136,6 @@ def known_at(events: DataFrame, history: DataFrame, *, entity: str, time: str, h
     if set(outs) & set(events.columns):
         raise ValueError(f"already columns: {sorted(set(outs) & set(events.columns))}")
     changes = change_histories(history, entity=history_entity, valid_from=valid_from, known_from=known_from, tie=tie, attributes=attributes, bucket_us=bucket_us, large=large)
-    found = last_known(events, changes, entity=entity, time=time, kinds=[history.schema[a].dataType for a in attributes], bucket_us=bucket_us, large=large, salts=salts, crowd=crowd)
+    found = last_known(events, changes, entity=entity, time=time, slots_used=len(attributes), bucket_us=bucket_us, large=large, salts=salts, crowd=crowd)
     value = lambda c, a: F.map_from_entries(F.col(c)["value"]) if _is_map(history, a) else F.col(c)["value"]
     return found.select(*[F.col("event")[c].alias(c) for c in events.columns], *[value(c, a).alias(o) for c, a, o in zip(slots(len(attributes)), attributes, outs)])

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dimforge.functions.names import col, require
+from dimforge.functions.names import col, free, require
+from dimforge.operators.asof import last_known, micros
 from dimforge.schema.model import order_by_dependency
 
 AGGREGATE = {"sum": F.sum, "min": F.min, "max": F.max, "average": F.avg}
@@ -24,7 +26,9 @@ class Member:
     matched member completes it first. `constant` gives member columns that must have a fixed value.
     `unknown` is the key where nothing matches; without it such facts are dropped. `temporal` members
     are versions (start_at, end_at, version): the one valid at the fact's time matches, or the first one for earlier facts.
-    `degenerate` references pass their key through.
+    `degenerate` references pass their key through. `sequential` says that the versions of a key begin at different
+    times and overlap, if at all, in the moment one ends and the next begins, as relabelled ones do: facts then meet them sorted by
+    time (:func:`~dimforge.operators.asof.last_known`) and not version by version, which is quadratic for keys of many.
     """
 
     key: str
@@ -39,6 +43,7 @@ class Member:
     temporal: bool = False
     degenerate: bool = False
     half_open: bool = False
+    sequential: bool = False
 
     @property
     def label(self) -> str:
@@ -63,6 +68,8 @@ def stage_fact(source: DataFrame, references: Sequence[Member], *, time_key: str
     require(source, *keep)
     j = source
     pre: dict[str, str] = {}
+    if any(r.temporal for r in references) and time_key is None:
+        raise ValueError("temporal references need time_key")
     for i, name in enumerate(order):
         r = by_name[name]
         if r.degenerate:
@@ -74,14 +81,12 @@ def stage_fact(source: DataFrame, references: Sequence[Member], *, time_key: str
             m = m.where(col(c) == F.lit(v))
         m = m.select(*[col(c).alias(p + c) for c in need])
         on = F.lit(True)
-        for c, s in r.on.items():
-            parts = [col(s), *[col(pre[n] + mc) for n, mc in r.through.get(c, [])]]
-            if c in r.default:
-                parts.append(F.lit(r.default[c]))
-            on = on & (col(p + c) == (F.coalesce(*parts) if len(parts) > 1 else parts[0]))
+        for c in r.on:
+            on = on & (col(p + c) == _given(r, c, pre))
+        if r.temporal and r.sequential:
+            j = _join_sequential(j, m, p, r, {c: _given(r, c, pre) for c in r.on}, time_key)
+            continue
         if r.temporal:
-            if time_key is None:
-                raise ValueError(f"{name} is temporal: time_key is needed")
             at = F.timestamp_seconds(col(time_key)).cast("timestamp_ntz")
             on = on & valid_at(at, col(p + "start_at"), col(p + "end_at"), col(p + "version"), r.half_open)
         j = j.join(m, on, "left" if r.unknown is not None else "inner")
@@ -95,6 +100,44 @@ def stage_fact(source: DataFrame, references: Sequence[Member], *, time_key: str
     return j.select(*out, *[col(c) for c in keep])
 
 
+def _given(r: Member, column: str, pre: dict[str, str]) -> Column:
+    """What the source says of a natural key column: its own value, else that of another reference's member, else the default."""
+    parts = [col(r.on[column]), *[col(pre[n] + c) for n, c in r.through.get(column, [])]]
+    if column in r.default:
+        parts.append(F.lit(r.default[column]))
+    return F.coalesce(*parts) if len(parts) > 1 else parts[0]
+
+
+def _join_sequential(facts: DataFrame, members: DataFrame, prefix: str, r: Member, given: dict[str, Column], time_key: str) -> DataFrame:
+    """`facts` with the columns of the versions valid at their time, as the join on key and period gives them."""
+    e, t, v = free(facts.columns, "__e", "__t", "__v")
+    start, end, version = (prefix + c for c in ("start_at", "end_at", "version"))
+    keyed = F.lit(True)
+    for c in r.on:
+        keyed = keyed & col(prefix + c).isNotNull()
+    # Struct fields go by place, and both sides of a comparison must have one type.
+    kinds = {c: members.schema[prefix + c].dataType for c in r.on}
+    own = members.where(keyed & col(start).isNotNull()).withColumn(e, F.struct(*[col(prefix + c).alias(f"k{i}") for i, c in enumerate(r.on)]))
+    before = F.lag(F.struct(*[col(c) for c in members.columns])).over(Window.partitionBy(e).orderBy(col(start)))
+    pair = F.struct(F.struct(F.struct(*[col(c) for c in members.columns]).alias("now"), F.col("__before").alias("was")).alias("value"))
+    began = F.when(col(version) == 1, F.lit(-(2**62))).otherwise(micros(own, start))  # the first version holds before it begins, too
+    changes = own.withColumn("__before", before).select(F.col(e).alias("e"), began.alias("at"), pair.alias("c0"))
+    complete = F.lit(True)
+    for c in given.values():
+        complete = complete & c.isNotNull()
+    key = F.struct(*[c.cast(kinds[n]).alias(f"k{i}") for i, (n, c) in enumerate(given.items())])
+    events = facts.withColumn(e, F.when(complete, key)).withColumn(t, (col(time_key) * 1_000_000).cast("long"))
+    met = last_known(events, changes, entity=e, time=t, slots_used=1)
+    at, now, was = F.col("event")[t], F.col("c0")["value"]["now"], F.col("c0")["value"]["was"]
+    us = lambda x, c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), x[c]) if isinstance(members.schema[c].dataType, T.TimestampNTZType) else F.unix_micros(x[c])
+    ends = us(now, end)
+    holds = now.isNotNull() & (ends.isNull() | ((at < ends) if r.half_open else (at <= ends)) | ((at < us(now, start)) & (now[version] == 1)))
+    both = F.lit(False) if r.half_open else was.isNotNull() & (at == us(was, end)) & (at >= us(now, start))
+    some = F.array_compact(F.array(F.when(both, was), F.when(holds, now)))
+    how = F.explode_outer if r.unknown is not None else F.explode
+    return met.select("event", how(some).alias(v)).select(*[F.col("event")[c].alias(c) for c in facts.columns], *[F.col(v)[c].alias(c) for c in members.columns])
+
+
 def date_of(key: Column) -> Column:
     """The date that a yyyymmdd number names; null if it names none."""
     return F.try_to_date(key.cast("string"), "yyyyMMdd")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from dimforge.functions.merge import comparable
 from dimforge.functions.names import all_columns, col, dealt, free, require
+from dimforge.operators.scan import LARGE, large_keys
 from dimforge.session import materialise
 
 
@@ -103,10 +104,6 @@ def _bucketed(df: DataFrame, keys: Sequence[str], at: str, tie: Sequence[Column]
     return j.select(*cols)
 
 
-#: Rows above which an entity is cut into buckets of time.
-LARGE = 1_000_000
-
-
 def versions(observed: DataFrame, *, keys: Sequence[str], at: str, newest: Sequence[str], attributes: Sequence[str], json: Sequence[str] = (), keep: Sequence[str] | None = None, bucket: str = "day", large: int = LARGE) -> DataFrame:
     """The distinct versions of each entity, from observations: the opening row's columns (keys, `at` and `keep`; all, for None), `version`, `valid_from`, `valid_to`.
 
@@ -134,8 +131,7 @@ def versions(observed: DataFrame, *, keys: Sequence[str], at: str, newest: Seque
     forms = [canonical_json(col(a)) if a in json else comparable(col(a)) if kinds[a].startswith("map<") else col(a) for a in attributes]
     # Only what is needed, under names of its own, so that all branches below ask the same of one exchange.
     rows = data.where(col(at).isNotNull()).select(entity(keys).alias(e), col(at).alias(t), *[col(c).alias(n) for c, n in zip(newest, new)], *[f.alias(n) for f, n in zip(forms, compared)], *[col(c).alias(n) for c, n in zip(kept, own)])
-    counts = rows.groupBy(e).agg(F.count(F.lit(1)).alias(many)).where(F.col(many) > large).select(F.col(e).alias(many))
-    hot = F.broadcast(counts)  # one row per `large` rows at most
+    hot = large_keys(rows, F.col(e), large)
     back = dict(zip([at, *kept], [t, *own])) | {k: None for k in keys}
     out = [F.col(e)[f"k{list(keys).index(c)}"].alias(c) if c in keys else F.col(back[c]).alias(c) for c in data.columns if c in back]
 
@@ -146,14 +142,16 @@ def versions(observed: DataFrame, *, keys: Sequence[str], at: str, newest: Seque
     def newest_first(*by: str) -> WindowSpec:
         return Window.partitionBy(*by).orderBy(*[F.col(n).desc_nulls_last() for n in new])
 
-    common = rows.join(hot, F.col(e) == F.col(many), "left_anti").repartition(F.col(e))
+    common = (rows if hot is None else rows.join(hot, F.col(e) == F.col("hot"), "left_anti")).repartition(F.col(e))
     single = common.withColumn(b, F.row_number().over(newest_first(e, t))).where((F.col(b) == 1) & all_columns(common)).drop(b)
     placed = single.withColumn(number, F.row_number().over(Window.partitionBy(e).orderBy(t)))
     events = Window.partitionBy(e).orderBy(number)
     spans = opened(placed).withColumn("version", F.row_number().over(events)).withColumn("valid_to", F.lead(t).over(events))
     usual = spans.where(F.col(event) != "deleted").select(*out, "version", F.col(t).alias("valid_from"), "valid_to")
 
-    spread = rows.join(hot, F.col(e) == F.col(many), "left_semi").withColumn(b, F.date_trunc(bucket, F.col(t)))
+    if hot is None:
+        return usual
+    spread = rows.join(hot, F.col(e) == F.col("hot"), "left_semi").withColumn(b, F.date_trunc(bucket, F.col(t)))
     single = spread.withColumn(many, F.row_number().over(newest_first(e, b, t))).where(F.col(many) == 1).drop(many)
     changes = opened(_bucketed(single, [e], t, [], b, number)).where(F.col(event) != "deleted").drop(number, event)
     numbered = _bucketed(changes, [e], t, [], b, "version", "valid_to")

@@ -7,7 +7,7 @@ all follow from the model.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -103,7 +103,7 @@ def load_dimension(rows: DataFrame, target: Table, members: Members, existing: D
     return old.unionByName(new), after
 
 
-def fact_members(rows: DataFrame, target: Table, members: Members) -> list[Member]:
+def fact_members(rows: DataFrame, target: Table, members: Members, sequential: Sequence[str] = ()) -> list[Member]:
     """The references of a fact as :class:`~dimforge.operators.facts.Member`, in the order they are declared."""
     out = []
     labels = {ref.name: ref for ref in target.references}
@@ -127,15 +127,18 @@ def fact_members(rows: DataFrame, target: Table, members: Members) -> list[Membe
                 elif c.default is not None and not str(c.default).endswith("()"):
                     default[c.name] = c.default
         constant = {c.name: c.default for c in ref.table.columns if c.auto and c.default is not None}
-        out.append(Member(ref.key, members[ref.table.full_name], on, ref.name, ref.table.surrogate, default, through, constant, ref.unknown, ref.table.kind in ("two", "four")))
+        out.append(Member(ref.key, members[ref.table.full_name], on, ref.name, ref.table.surrogate, default, through, constant, ref.unknown, ref.table.kind in ("two", "four"), sequential=ref.name in sequential))
     return out
 
 
-def load_fact(rows: DataFrame, target: Table, members: Members) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(staged facts with keys, measures, time_key and period, the members after it)."""
+def load_fact(rows: DataFrame, target: Table, members: Members, *, sequential: Sequence[str] = ()) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(staged facts with keys, measures, time_key and period, the members after it).
+
+    `sequential` names references to relabelled histories, see :class:`~dimforge.operators.facts.Member`.
+    """
     after = insert_missing_members(rows, target, members)
     keep = [c.name for c in target.columns if c.name in rows.columns]
-    staged = facts.stage_fact(rows, fact_members(rows, target, after), time_key="time_key", keep=[*keep, "time_key"])
+    staged = facts.stage_fact(rows, fact_members(rows, target, after, sequential), time_key="time_key", keep=[*keep, "time_key"])
     return facts.with_period(staged), after
 
 

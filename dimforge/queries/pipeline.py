@@ -53,8 +53,9 @@ def _load(spark: SparkSession, sf: str, stage: DataFrame) -> DataFrame:
         F.col("feature_type_name").alias("feature.name"), F.col("time_key").cast("long").alias("time_key"), "total",
     )
     users = problems._versions(spark, sf, "id").select("id", "tenant_id", "user_id", "version", F.col("valid_from").alias("start_at"), F.col("valid_to").alias("end_at"))
+    users = session.materialise(users, "users")  # the dimension as a load leaves it
     members = {"tenant_dimension": table(spark, sf, "tenant_dimension"), "user_dimension": users, "feature_type": table(spark, sf, "feature_type")}
-    return load.load_fact(rows, _catalog().w.visits_hourly_fact, members)[0]
+    return load.load_fact(rows, _catalog().w.visits_hourly_fact, members, sequential=("user",))[0]
 
 
 def _loaded(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dimforge import session
 from dimforge.functions.merge import coalesce_merge, json_to_map, merge_entries
 from dimforge.operators import dimensions, facts, mapping
 from dimforge.operators.dimensions import Join, Lookup
@@ -145,8 +146,8 @@ def snapshot_reverse(spark, sf):
 
 
 def _consolidated_states(spark, sf):
-    led = _ledger(spark, sf)
-    return dimensions.upsert(dimensions.snapshot(led, **_ARGS, backwards=True), dimensions.snapshot(led, **_ARGS), ["user_id", "start_at"])
+    """Written once: thinning out reads its states several times."""
+    return session.materialise(dimensions.complete_states(_ledger(spark, sf), **_ARGS), "states")
 
 
 @query(_LEDGER + _THIN.format(n="thin", unit="hour") + " select * from thin")
@@ -233,8 +234,17 @@ def stage_fact_unknown(spark, sf):
 @query(_HIST + " select h.version as user_version, e.event_id, e.event_type from events e join hist h on h.user_id = e.user_id and ((e.ts >= h.start_at and (h.end_at is null or e.ts < h.end_at)) or (e.ts < h.start_at and h.version = 1))")
 def stage_fact_temporal(spark, sf):
     e = table(spark, sf, "events").withColumn("time_key", F.unix_seconds(F.col("ts").cast("timestamp")))
-    hist = consolidate_dimension(spark, sf)
-    refs = [Member("user_version", hist, {"user_id": "user_id"}, surrogate="version", temporal=True, half_open=True)]
+    hist = session.materialise(consolidate_dimension(spark, sf), "dimension")
+    refs = [Member("user_version", hist, {"user_id": "user_id"}, surrogate="version", temporal=True, half_open=True, sequential=True)]
+    return facts.stage_fact(e, refs, time_key="time_key", keep=["event_id", "event_type"])
+
+
+@query(_HIST + " select h.version as user_version, e.event_id, e.event_type from events e join hist h on h.user_id = e.user_id and ((date_trunc('second', e.ts) >= h.start_at and (h.end_at is null or date_trunc('second', e.ts) <= h.end_at)) or (e.ts < h.start_at and h.version = 1))")
+def stage_fact_inclusive(spark, sf):
+    """Ends included: a fact at the moment one version ends and the next begins comes with both."""
+    e = table(spark, sf, "events").withColumn("time_key", F.unix_seconds(F.col("ts").cast("timestamp")))
+    hist = session.materialise(consolidate_dimension(spark, sf), "dimension")
+    refs = [Member("user_version", hist, {"user_id": "user_id"}, surrogate="version", temporal=True, sequential=True)]
     return facts.stage_fact(e, refs, time_key="time_key", keep=["event_id", "event_type"])
 
 
