@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +35,8 @@ LANGUAGES = {
 _CODES = {x: k for k, v in LANGUAGES.items() for x in (k, *v)}
 
 LEVEL = 1
+#: Texts whose sentences go through a dictionary together; it bounds memory and changes no result.
+TOGETHER = 64
 #: A text counts as recognised if the best dictionary saves at least this share over the next one.
 SENTENCE_MARGIN = 0.12
 
@@ -57,31 +58,39 @@ class Model:
     def languages(self) -> list[str]:
         return list(self.dictionaries)
 
-    def compressors(self) -> list[tuple[str, zstandard.ZstdCompressor]]:
-        return _compressors(tuple(self.dictionaries.items()))
+    def sizes(self, texts: list[bytes]) -> list[list[int]]:
+        """Of each language in order, the encoded size of every text, beyond the frame's fixed bytes.
 
-    def sizes(self, text: bytes) -> list[int]:
-        return [len(c.compress(text)) for _, c in self.compressors()]
+        All texts go through one dictionary before the next: its tables stay in the processor's cache.
+        """
+        return [[max(1, len(x) - 9) for x in c.multi_compress_to_buffer(texts)] for c in _compressors(tuple(self.dictionaries.items()))] if texts else [[] for _ in self.dictionaries]
 
-    def best(self, text: bytes) -> tuple[str | None, float]:
-        """(language, margin): the dictionary that makes `text` smallest, and the share it saves over the next.
+    def best(self, texts: list[bytes]) -> list[tuple[str | None, float]]:
+        """(language, margin) of each text: the dictionary that makes it smallest, and the share it saves over the next.
 
-        Sizes are counted beyond the frame's fixed bytes. With one dictionary only, the next is none at all.
+        With one dictionary only, the next is none at all.
         """
-        sizes = sorted((max(1, n - 9), k) for n, (k, _) in zip(self.sizes(text), self.compressors()))
-        if not sizes:
-            return None, 0.0
-        second = sizes[1][0] if len(sizes) > 1 else max(1, len(text))
-        return sizes[0][1], 1 - sizes[0][0] / second
+        names = self.languages
+        if not names:
+            return [(None, 0.0)] * len(texts)
+        out = []
+        for text, sizes in zip(texts, zip(*self.sizes(texts))):
+            least = min(sizes)
+            k = sizes.index(least)
+            second = min(sizes[:k] + sizes[k + 1 :]) if len(sizes) > 1 else max(1, len(text))
+            out.append((names[k], 1 - least / second))
+        return out
 
 
 @lru_cache(maxsize=4)
-def _compressors(items: tuple[tuple[str, bytes], ...]) -> list[tuple[str, zstandard.ZstdCompressor]]:
+def _compressors(items: tuple[tuple[str, bytes], ...]) -> list:
+    import zstandard  # only here, so that the other operators on texts don't need it
+
     out = []
-    for k, data in items:
+    for _, data in items:
         d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=LEVEL)
-        out.append((k, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+        out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
     return out
 
 
@@ -166,49 +175,50 @@ def _words(s: str) -> list[str]:
     return _WORD.findall(s.lower())
 
 
-def judge(text: str | None, model: Model, margin: float = SENTENCE_MARGIN) -> list[tuple[int, str, float]]:
-    """(segment, language, confidence) of a text: segment 0 the text, k its k-th piece where that has prose.
+def judge(texts: list[str | None], model: Model, margin: float = SENTENCE_MARGIN) -> list[list[tuple[int, str, float]]]:
+    """Of each text its (segment, language, confidence): segment 0 the text, k its k-th piece where that has prose.
 
     The text's language is that of most of its prose, in characters, and so is a piece's. Every sentence
     is tried with every dictionary; a piece without a recognised sentence is tried whole, and prose that
     no dictionary recognises belongs to no language. Confidence is the share of prose in that language
-    times the margin by which its dictionary wins. No prose: no rows.
+    times the margin by which its dictionary wins. No prose: no rows. Each text is judged by itself.
     """
-    if text is None or not text.strip():
-        return []
-    found = []
-    for k, p in enumerate(prose.pieces(text), 1):
-        ss = prose.sentences(p)
-        if ss:
-            found.append((k, ss))
-    if not found:
+    found = [[(k, ss) for k, p in enumerate(prose.pieces(t), 1) if (ss := prose.sentences(p))] if t is not None else [] for t in texts]
+    guesses = iter(model.best([encoded(s) for pieces in found for _, ss in pieces for s in ss]))
+    judged, whole = [], []
+    for pieces in found:
+        own = []
+        for k, ss in pieces:
+            chars: Counter = Counter()
+            margins = []
+            for s in ss:
+                lang, m = next(guesses)
+                if lang is not None and m >= margin:
+                    chars[lang] += len(s)
+                    margins.append(m)
+            own.append([k, ss, chars, margins])
+            if not chars and len(ss) > 1:
+                whole.append(own[-1])
+        judged.append(own)
+    for piece, (lang, m) in zip(whole, model.best([encoded("\n".join(p[1])) for p in whole])):
+        if lang is not None and m >= margin:
+            piece[2][lang] = sum(map(len, piece[1]))
+            piece[3].append(m)
+    return [_verdict(own) for own in judged]
+
+
+def _verdict(pieces: list) -> list[tuple[int, str, float]]:
+    """The rows of one text from its pieces: number, sentences, characters by language, margins."""
+    lead = lambda c: min(c, key=lambda x: (-c[x], x))
+    sure = [(k, chars, sum(margins) / len(margins)) for k, _, chars, margins in pieces if chars]
+    if not sure:
         return []
-    per_piece: list[tuple[int, Counter, float]] = []
     total: Counter = Counter()
-    for k, ss in found:
-        chars: Counter = Counter()
-        margins = []
-        for s in ss:
-            lang, m = model.best(encoded(s))
-            if lang is not None and m >= margin:
-                chars[lang] += len(s)
-                margins.append(m)
-        if not chars and len(ss) > 1:
-            lang, m = model.best(encoded("\n".join(ss)))
-            if lang is not None and m >= margin:
-                chars[lang] = sum(map(len, ss))
-                margins.append(m)
-        sure = sum(margins) / len(margins) if margins else 0.0
-        if chars:
-            per_piece.append((k, chars, sure))
-            total.update(chars)
-    if not total:
-        return []
-    lead = lambda c: min(c, key=lambda x: (-c[x], x))
+    for _, chars, _ in sure:
+        total.update(chars)
     main = lead(total)
-    out = [(0, main, total[main] / sum(total.values()) * max(s for _, _, s in per_piece))]
-    out += [(k, (own := lead(chars)), chars[own] / sum(chars.values()) * sure) for k, chars, sure in per_piece]
-    return out
+    out = [(0, main, total[main] / sum(total.values()) * max(s for _, _, s in sure))]
+    return out + [(k, (own := lead(chars)), chars[own] / sum(chars.values()) * s) for k, chars, s in sure]
 
 
 def _judged(source: DataFrame, model: Model) -> DataFrame:
@@ -218,10 +228,10 @@ def _judged(source: DataFrame, model: Model) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, rows = [], []
-            for i, t in enumerate(b.column(1)):
-                got = judge(t.as_py(), model)
-                at += [i] * len(got)
-                rows += [(*r, got[0][1]) for r in got]
+            for start in range(0, len(b), TOGETHER):
+                for i, got in enumerate(judge([t.as_py() for t in b.column(1)[start : start + TOGETHER]], model), start):
+                    at += [i] * len(got)
+                    rows += [(*r, got[0][1]) for r in got]
             cols = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int32(), pa.string(), pa.float64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *cols], names=["doc", "segment_no", "lang", "confidence", "main"])
 

@@ -1,13 +1,15 @@
 """Records of several sources mixed so that each has its target share of all tokens.
 
-Weights are propagated down a tree (domain, source, language; a target is given per source, which is
-why sources lie above languages). What a node can't supply is taken up by its siblings before it is
-passed to its parent's siblings. Each leaf then gives whole epochs and, of one more, the prefix in a
+Weights are propagated down a tree of domains, languages and sources: a source's weight is dealt over its
+languages in proportion to what it has of them. What a source can't supply in a language is taken up by other
+sources of that language and domain, then by the domain's other languages, and only then by other
+domains. Each leaf then gives whole epochs and, of one more, the prefix in a
 seeded order that brings it to its budget.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -26,6 +28,11 @@ def source_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"[-\s]+", "_")
 
 
+def source_name(name: str) -> str:
+    """:func:`source_key` of a name given on the driver."""
+    return re.sub(r"[-\s]+", "_", name.strip().lower())
+
+
 @dataclass
 class Node:
     """A node of the tree: what it should weigh, what its leaves can supply, and what it is given."""
@@ -59,14 +66,33 @@ class Node:
                 left -= c.supply
 
 
-def largest_total(targets: list[tuple[str, float, int]], available: dict[str, float]) -> float:
-    """The largest mix in which every source that has texts gets its share within its repeats.
+def tree(targets: list[tuple[str, float, int]], leaves: list[tuple[str, str, int]], domains: dict[str, str]) -> Node:
+    """The tree of one mix, from (source, weight, repeats) and (source, language, tokens); sources without a domain share one."""
+    root = Node()
+    for s, w, r in targets:
+        mine = [(lang, n) for x, lang, n in leaves if x == s]
+        total = sum(n for _, n in mine)
+        for lang, n in mine:
+            root.add((domains.get(s, ""), lang, s), w * n / total, n * r)
+        if not mine:
+            root.add((domains.get(s, ""), "", s), w, 0)  # in no language, so all of the domain make up for it
+    return root
 
-    The share of sources without any is spread over the others.
-    """
-    live = [(s, w, r) for s, w, r in targets if available.get(s, 0) > 0 and w > 0 and r > 0]
-    weight = sum(w for _, w, _ in live)
-    return min((available[s] * r * weight / w for s, w, r in live), default=0.0)
+
+def budgets(root: Node) -> dict[tuple[str, str], float]:
+    """What :meth:`Node.give` has given each (source, language)."""
+    return {(s, lang): leaf.budget for d in root.children.values() for lang, n in d.children.items() for s, leaf in n.children.items() if leaf.budget > 0}
+
+
+def largest_total(root: Node) -> float:
+    """The largest mix in which nothing runs short but sources without any texts, whose parts their siblings take up."""
+    leaves = {(s, lang): leaf for d in root.children.values() for lang, n in d.children.items() for s, leaf in n.children.items() if leaf.supply > 0 and leaf.weight > 0}
+    if not leaves:
+        return 0.0
+    # So little that no leaf with any supply is full: how it is dealt out is how any mix of this size or less is.
+    little = min(leaf.supply for leaf in leaves.values()) / 2
+    root.give(little)
+    return min(leaf.supply * little / leaf.budget for leaf in leaves.values() if leaf.budget > 0)
 
 
 def fit_edge(bucket: pd.DataFrame) -> pd.DataFrame:
@@ -88,12 +114,13 @@ def fit_edge(bucket: pd.DataFrame) -> pd.DataFrame:
     return rows.loc[taken]
 
 
-def mix(documents: DataFrame, targets: DataFrame, *, doc_id: str, source: str, language: str, size: str, mix_name: str = "mix_name", share: str = "target_share", repeats: str = "max_repeats", total: float | None = None, seed: int = 7) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, *, doc_id: str, source: str, language: str, size: str, mix_name: str = "mix_name", share: str = "target_share", repeats: str = "max_repeats", domains: dict[str, str] | None = None, total: float | None = None, fraction: float | None = None, seed: int = 7) -> DataFrame:
     """The documents of every mix: `mix_name`, `source`, `doc_id`, `epoch` (which repetition, from 1), `n_tokens`.
 
     `documents` has one row per document with its `size` in tokens, its `source` as it is spelled and
     a `language` code or null; `targets` the share and largest number of repeats of each source in
-    each mix. A mix is `total` tokens large, by default as large as it can be with every source that
+    each mix; `domains` says which domain a source belongs to (names as :func:`source_key` gives them). A mix is `total`
+    tokens large, or `fraction` of all tokens of its sources; by default as large as it can be with every source that
     has texts at its share. No document is in a mix more often than its source's repeats allow. Only
     whole documents are taken, so a leaf's budget is met to within half a short document. Documents of size 0 or of sources
     in no mix aren't taken, sources without documents give nothing, and repeated rows of `targets` count as one with
@@ -111,27 +138,17 @@ def mix(documents: DataFrame, targets: DataFrame, *, doc_id: str, source: str, l
     docs = materialise(docs.where(F.col("source").isin(names) & (F.col("n_tokens") > 0)), "mix")
     # At most one leaf per named source and two-letter code.
     leaves = docs.groupBy("source", "language").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()
-    available: dict[str, float] = {}
-    for x in leaves:
-        available[x["source"]] = available.get(x["source"], 0) + x["tokens"]
-
+    tokens = {(x["source"], x["language"]): x["tokens"] for x in leaves}
+    of = {source_name(k): v for k, v in (domains or {}).items()}
     plan = []
     for m in sorted({r["mix"] for r in rows}):
         own = [(r["source"], r["w"], r["r"]) for r in rows if r["mix"] == m]
-        root = Node()
-        for s, w, r in own:
-            mine = [x for x in leaves if x["source"] == s]
-            for x in mine:
-                root.add((s.split("_")[0], s, x["language"]), w * x["tokens"] / available[s], x["tokens"] * r)
-            if not mine:
-                root.add((s.split("_")[0], s, "und"), w, 0)
-        root.give(largest_total(own, available) if total is None else total)
-        for d in root.children.values():
-            for s, n in d.children.items():
-                for x in leaves:
-                    if x["source"] == s and (leaf := n.children.get(x["language"])) and leaf.budget > 0:
-                        full = int(leaf.budget / x["tokens"] + 1e-9)
-                        plan.append((m, s, x["language"], full, max(0.0, leaf.budget - full * x["tokens"])))
+        root = tree(own, [(s, lang, n) for (s, lang), n in tokens.items()], of)
+        size = total if total is not None else fraction * sum(n for (s, _), n in tokens.items() if s in {x[0] for x in own}) if fraction is not None else largest_total(root)
+        root.give(size)
+        for (s, lang), budget in sorted(budgets(root).items()):
+            full = int(budget / tokens[s, lang] + 1e-9)
+            plan.append((m, s, lang, full, max(0.0, budget - full * tokens[s, lang])))
     if not plan:
         return spark.createDataFrame([], out)
     most = max(x["docs"] for x in leaves)

@@ -88,7 +88,7 @@ def best_two_fit(sizes: Sequence[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def pack(items: DataFrame, containers: list[tuple[str, int]], *, item: str, size: str, shard_items: int = SHARD_ITEMS, expected: int | None = None) -> DataFrame:
+def pack(items: DataFrame, containers: list[tuple[str, int]], *, item: str, size: str, shard_items: int = SHARD_ITEMS, expected: int | None = None, most_tasks: int = 4096) -> DataFrame:
     """Every item in a container of every kind: `container_name`, `bin_id`, `item`, `piece_no`, `start`, `n_tokens`.
 
     `items` has one row per item; `item` identifies it (bigint) and `size` is its length. An item longer than the capacity
@@ -96,7 +96,8 @@ def pack(items: DataFrame, containers: list[tuple[str, int]], *, item: str, size
     rest that is packed like other items; `start` is where a piece begins, `piece_no` counts from 1.
     Items of size 0 take no space and go into the shard's first container. Rows with a null id or size are left
     out. The result depends on the ids and sizes only, not on the layout of the table. `expected` is the number
-    of items if known; it sets the number of shards.
+    of items if known; it sets the number of shards. At most `most_tasks` tasks pack them, several shards one after another
+    where there are more; that changes no result.
     """
     require(items, item, size)
     n = items.count() if expected is None else expected
@@ -104,7 +105,7 @@ def pack(items: DataFrame, containers: list[tuple[str, int]], *, item: str, size
     rows = items.select(col(item).cast("long").alias("item"), col(size).cast("long").alias("size")).where("item is not null and size is not null")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)))
     # A given number of partitions isn't coalesced: items are few bytes, but packing them takes time.
-    rows = rows.repartition(min(shards, 4096), "shard")
+    rows = rows.repartition(min(shards, most_tasks), "shard")
     kinds = tuple(containers)
 
     def work(key: tuple, g: pd.DataFrame) -> pd.DataFrame:

@@ -28,12 +28,20 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(p8_packed(spark, sf), _table(spark, sf, "container_size"), "container_name", "capacity_tokens")
 
 
-def p9_mixed(spark: SparkSession, sf: str) -> DataFrame:
-    """The texts of each mix."""
+#: Where texts are written, and where they are copied to.
+DOMAINS = {"wiki_main": "live", "wiki_regional": "live", "wiki_sister": "live", "wiki_lab": "live", "wiki_archive": "copies", "wiki_mirror": "copies", "wiki_offline": "copies"}
+
+
+def _mix(spark: SparkSession, sf: str, **size: float) -> DataFrame:
     docs = _table(spark, sf, "documents").where("text is not null")
     docs = docs.select("doc_id", "source", langid.label_code(F.col("lang")).alias("language"), "text")
     sized = tokens.lengths(docs, text="text", keep=["doc_id", "source", "language"])
-    return mixing.mix(sized, _table(spark, sf, "mix_target"), doc_id="doc_id", source="source", language="language", size="n_tokens")
+    return mixing.mix(sized, _table(spark, sf, "mix_target"), doc_id="doc_id", source="source", language="language", size="n_tokens", domains=DOMAINS, **size)
+
+
+def p9_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts of each mix."""
+    return _mix(spark, sf)
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,6 +49,11 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(p9_mixed(spark, sf), _table(spark, sf, "mix_target"))
 
 
+def p9_scarce(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of mixes of half of all tokens, for which some sources have too few: siblings make up for them first."""
+    return mixing.shares(_mix(spark, sf, fraction=0.5), _table(spark, sf, "mix_target"))
+
+
 def _model(spark: SparkSession, sf: str) -> langid.Model:
     return langid.fit(_table(spark, sf, "documents"), doc_id="doc_id", text="text", label="lang")
 
@@ -56,7 +69,7 @@ def p10_languages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_languages)}
+    return {f.__name__: f for f in (p8_packed, p8_fill, p9_mixed, p9_shares, p9_scarce, p10_found, p10_languages)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -37,13 +37,13 @@ def test_held_out_accuracy(spark):
     model = langid.fit(df, doc_id="doc_id", text="text", label="lang")
     assert model.languages == ["de", "en", "fr"]
     held = corpus(200, 2)
-    got = [langid.judge(t, model) for _, t, _, _ in held]
+    got = langid.judge([t for _, t, _, _ in held], model)
     assert sum(g[0][1] == truth for g, (_, _, _, truth) in zip(got, held)) >= 198
     assert all(len(g) == 4 and 0 < g[0][2] <= 1 for g in got)
 
     rnd = random.Random(9)
     mixed = "\n \n\n".join([sentence(rnd, "en"), f"== Title ==\n{sentence(rnd, 'fr')} {sentence(rnd, 'fr')} {sentence(rnd, 'en')}", "{{box|a=1}}", " ".join(sentence(rnd, "en") for _ in range(4))])
-    assert [(k, l) for k, l, _ in langid.judge(mixed, model)] == [(0, "en"), (1, "en"), (2, "fr"), (4, "en")]
+    assert [(k, l) for k, l, _ in langid.judge([mixed], model)[0]] == [(0, "en"), (1, "en"), (2, "fr"), (4, "en")]
     odd = [(1, mixed, None), (2, mixed, "English"), (3, mixed, "fr"), (4, "#REDIRECT [[X]]", "fr"), (5, None, None), (6, "  \n ", "en"), (7, "zzzz " * 50, None), (8, sentence(rnd, "de") * 3000, "deu")]
     wrong = langid.mislabelled(spark.createDataFrame(odd, "doc_id long, text string, lang string"), model, doc_id="doc_id", text="text", label="lang")
     assert sorted((r.doc_id, r.segment_no, r.lang) for r in wrong.collect()) == [(1, 0, "en"), (1, 2, "fr"), (2, 2, "fr"), (3, 0, "en"), (3, 2, "fr")]
@@ -57,7 +57,7 @@ def test_long_and_repeated_pieces(spark):
     rnd = random.Random(4)
     english = [" ".join(sentence(rnd, "en") for _ in range(400)) for _ in range(4)]
     for foreign in [" ".join(sentence(rnd, "fr") for _ in range(n)) for n in (40, 200, 520)] + [" ".join([sentence(rnd, "fr")] * 40)]:
-        got = langid.judge("\n\n".join([*english[:2], foreign, *english[2:]]), model)
+        got = langid.judge(["\n\n".join([*english[:2], foreign, *english[2:]])], model)[0]
         assert [(k, x) for k, x, _ in got] == [(0, "en"), (1, "en"), (2, "en"), (3, "fr"), (4, "en"), (5, "en")]
         assert all(0 < c <= 1 for _, _, c in got)
 
@@ -73,7 +73,7 @@ def test_scripts_without_spaces(spark):
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), doc_id="doc_id", text="text", label="lang", least_sentences=4)
     assert model.languages == ["ja", "th", "zh"]
     for k, ss in base.items():
-        assert [(n, x) for n, x, _ in langid.judge("\n".join(ss[:2]), model)] == [(0, k), (1, k)]
+        assert [(n, x) for n, x, _ in langid.judge(["\n".join(ss[:2])], model)[0]] == [(0, k), (1, k)]
         assert len(prose.sentences("\n".join(ss))) == 4
     assert not prose.is_sentence("北京。") and not prose.is_sentence("哈哈哈哈哈哈哈哈哈哈哈哈。") and not prose.is_sentence("In 北京 1999.")
 
@@ -97,3 +97,12 @@ def test_prose():
     assert not any("{" in s or "[" in s or "|" in s or "Category" in s for s in got)
     assert prose.pieces("") == [] and prose.pieces(" \n\t\n ") == []
     assert prose.pieces("\n\na\n　\n\nb\r\n\r\nc") == ["a", "b", "c"]
+
+
+def test_texts_are_judged_each_by_itself(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = langid.fit(docs, doc_id="doc_id", text="text", label="lang")
+    texts = [r.text for r in docs.select("text").limit(150).collect()] + [None, "", "  \n\n "]
+    together = langid.judge(texts, model)
+    assert together == [langid.judge([t], model)[0] for t in texts] and together[-3:] == [[], [], []]
+    assert langid.judge([], model) == [] and langid.judge(["One sentence of words without a model."], langid.Model({})) == [[]]

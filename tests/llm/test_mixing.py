@@ -66,3 +66,23 @@ def test_nothing(spark):
     targets = spark.createDataFrame([("m", "wiki_a", 1.0, 1)], T)
     assert mixing.mix(docs(spark, []), targets, **ARGS).count() == 0
     assert mixing.mix(docs(spark, [(1, "wiki_a", "en", 5)]), targets.limit(0), **ARGS).count() == 0
+
+
+def test_shortages_go_to_siblings_then_to_ancestors():
+    targets = [("a1", 0.3, 1), ("a2", 0.3, 1), ("b1", 0.4, 1)]
+    domains = {"a1": "a", "a2": "a", "b1": "b"}
+    leaves = [("a1", "en", 10), ("a2", "en", 20), ("a2", "de", 50), ("b1", "en", 1000)]
+    root = mixing.tree(targets, leaves, domains)
+    total = lambda s: sum(v for (x, _), v in mixing.budgets(root).items() if x == s)
+    root.give(10)
+    assert (total("a1"), total("a2"), total("b1")) == pytest.approx((3, 3, 4))
+    root.give(60)  # a1 lacks 8: a2 in English takes what it has left, German the rest; b1 nothing
+    got = mixing.budgets(root)
+    assert got["a1", "en"] == pytest.approx(10) and total("a2") == pytest.approx(26) and total("b1") == pytest.approx(24)
+    assert got["a2", "en"] > 60 * 0.3 * 20 / 70  # more than its own part
+    root.give(200)  # the domain has 80 in all; the rest is made up for by the other one
+    assert total("a1") + total("a2") == pytest.approx(80) and total("b1") == pytest.approx(120)
+    root = mixing.tree([*targets, ("a3", 0.2, 3)], leaves, {**domains, "a3": "a"})  # of a3 there is nothing
+    size = mixing.largest_total(root)
+    root.give(size)
+    assert total("b1") == pytest.approx(size * 0.4 / 1.2) and total("a1") == pytest.approx(10)
