@@ -16,6 +16,11 @@ def coalesce_merge(c: Column, w: WindowSpec | None = None) -> Column:
     return last.over(w) if w is not None else last
 
 
+def coalesce_last(c: Column, order: Column) -> Column:
+    """Aggregate: the last value that isn't null, by rising `order`; combined on the map side."""
+    return F.max_by(c, F.when(c.isNotNull(), order))
+
+
 def map_union(a: Column, b: Column) -> Column:
     """Entries of both; where both have a key, the right one's. Null maps add nothing."""
     left = F.coalesce(a, F.create_map().cast("map<string,string>"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 from typing import Any
 
 import pyarrow as pa
@@ -13,7 +14,8 @@ from pyspark.sql import types as T
 
 from dimforge.functions.names import col, free, require
 from dimforge.schema import types
-from dimforge.schema.model import Table
+from dimforge.schema.model import Column as Declared
+from dimforge.schema.model import Map, Table
 
 
 def project(source: DataFrame, expressions: dict[str, Column], *, distinct: bool = False) -> DataFrame:
@@ -57,25 +59,25 @@ def apply(source: DataFrame, function: Callable[..., Any], schema: T.StructType,
     return mapped.distinct() if distinct else mapped
 
 
-def coerced(rows: DataFrame, table: Table) -> DataFrame:
+def coerced(rows: DataFrame, table: Table, keep: Sequence[str] = ()) -> DataFrame:
     """`rows` of text as `table`'s types, with `reject`: the reason a row can't be in the table, null if it can.
 
     Text that isn't blank but gives no value of its type, and a null where the table requires a value,
-    are reasons. Defaults are filled in first; columns the table doesn't declare are dropped.
+    are reasons: malformed JSON, YAML and lists too. Defaults, functions among them, are filled in first; columns the table doesn't declare
+    are dropped, but for those to `keep`.
     """
     out, reasons = [], []
     for c in table.columns:
         raw = col(c.name) if c.name in rows.columns else F.lit(None).cast("string")
         v = types.coerce(raw, c.type, c.array, c.values)
-        if not c.array and c.type not in ("json", "yaml", "key_value"):
-            reasons.append(F.when((F.trim(raw) != "") & v.isNull(), F.lit(f"could not coerce {c.name}")))
-        if c.default is not None and not str(c.default).endswith("()"):
-            v = F.coalesce(v, F.lit(c.default).cast(types.spark_type(c.type, c.array)))
+        reasons.append(F.when((F.trim(raw.cast("string")) != "") & v.isNull(), F.lit(f"could not coerce {c.name}")))
+        if c.default is not None:
+            v = F.coalesce(v, types.default_value(c.default, c.type, c.array))
         if c.required:
             reasons.append(F.when(v.isNull(), F.lit(f"missing {c.name}")))
         out.append(v.alias(c.name))
     failed = col("error") if "error" in rows.columns and "error" not in {c.name for c in table.columns} else F.lit(None).cast("string")
-    return rows.select(*out, F.coalesce(failed, *reasons, F.lit(None).cast("string")).alias("reject"))
+    return rows.select(*out, *[col(k) for k in keep], F.coalesce(failed, *reasons, F.lit(None).cast("string")).alias("reject"))
 
 
 def split(checked: DataFrame, *, fail_fast: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -86,6 +88,47 @@ def split(checked: DataFrame, *, fail_fast: bool = False) -> tuple[DataFrame, Da
     return checked.where("reject is null").drop("reject"), bad
 
 
+def output_table(m: Map) -> Table:
+    """The columns a map gives, with their types: those its expressions name, or all that its target can take.
+
+    A target takes its own columns, what has to be known of the members its references point to (as reference.column), and
+    reserved columns that a load may set.
+    """
+    own = {c.name: c for c in m.target.columns if not c.surrogate_key and not c.ignore}
+    for ref in m.target.references:
+        for c in ref.table.columns:
+            if c.in_natural_key and not c.auto:
+                own[f"{ref.name}.{c.name}"] = replace(c, name=f"{ref.name}.{c.name}", null=ref.null or ref.default is not None or c.null, natural_key=False, unique=())
+    kinds = {"start_at": "timestamp", "last_modified_at": "timestamp", "delta": "integer", "source_kind": "string", "source_uuid": "string", "time_key": "long"}
+    own |= {n: Declared(n, kinds[n], null=True) for n in m.target.reserved if n in kinds}
+    names = list(m.expressions) or list(own)
+    if unknown := [n for n in names if n not in own]:
+        raise ValueError(f"{m.target.name} takes no {', '.join(unknown)}")
+    return Table(m.target.name, "file", tuple(own[n] for n in names))
+
+
+def run_map(m: Map, rows: DataFrame, *, line: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(what the map makes of `rows`, typed for its target; the rows and outputs set apart, with the reason in `reject`).
+
+    `rows` are text as a file has it. They are coerced to the map's source first; what fails there, what the function
+    fails for and what the target can't take is set apart, or with the map's `fail_fast` ends the run. `line` names
+    the column with the line number, for maps `with_line`. Whole rows repeated are left out with `distinct`.
+    """
+    if m.with_line and line is None:
+        raise ValueError("this map needs the line number")
+    out = output_table(m)
+    read = coerced(rows, m.source, keep=[line] if m.with_line else [])
+    good, bad = split(read, fail_fast=m.fail_fast)
+    if m.function is None:
+        made = project(good, m.expressions or {c.name: col(c.name) for c in out.columns if c.name in good.columns})
+    else:
+        schema = T.StructType([T.StructField(c.name, T.StringType()) for c in out.columns])
+        made = apply(good, m.function, schema, line=line if m.with_line else None)
+    kept, refused = split(coerced(made, out), fail_fast=m.fail_fast)
+    text = lambda df: df.select(F.to_json(F.struct(*[col(c) for c in df.columns if c != "reject"])).alias("row"), "reject")
+    return kept.distinct() if m.distinct else kept, text(bad).unionByName(text(refused))
+
+
 # ------------------------------------------------------------------------------------------- audits
 
 

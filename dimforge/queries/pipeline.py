@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -9,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dimforge import session
+from dimforge.functions import accesslog
 from dimforge.operators import load, mapping, timestamps
 from dimforge.queries import oracle, problems
 from dimforge.queries.warehouse import table
 from dimforge.schema import types
-from dimforge.schema.model import Catalog, Column, Reference, Table
+from dimforge.schema.model import Catalog, Column, Map, Reference, Table
 from dimforge.sources import files, fs
 from dimforge.sources.writers import Warehouse
 
@@ -171,13 +173,14 @@ def _replaced(spark: SparkSession, orders: DataFrame) -> DataFrame:
     return w.read("orders").select("o_orderkey", "o_custkey", F.col("period").cast("string").alias("period"))
 
 
-@query("select 4 as n_files, 25 as n_rows")
+@query("select cast(year(o_orderdate) as integer) as y, cast(1 as bigint) as n_files, true as has_size from orders group by 1")
 def file_listing(spark, sf):
+    """Files of orders, one per year, listed without being read."""
     where = _folder(spark)
-    table(spark, sf, "nation").repartition(4).write.parquet(where)
-    listed = fs.listing(spark, where).where("size > 0 and path like '%.parquet'")
-    rows = spark.read.parquet(where).agg(F.count(F.lit(1)).cast("int")).scalar()
-    return listed.agg(F.count("path").cast("int").alias("n_files")).select("n_files", rows.alias("n_rows"))
+    o = table(spark, sf, "orders").withColumn("y", F.year("o_orderdate"))
+    o.repartition("y").write.partitionBy("y").parquet(where)
+    listed = fs.listing(spark, where).where("path like '%.parquet'").withColumn("y", F.regexp_extract("path", "/y=([0-9]+)/", 1).cast("int"))
+    return listed.groupBy("y").agg(F.count("path").alias("n_files"), (F.min("size") > 0).alias("has_size"))
 
 
 @query("select o_orderkey, epoch_us(timezone('America/New_York', o_orderdate + interval 300 minute)) as epoch_us from orders")
@@ -187,6 +190,45 @@ def local_to_utc(spark, sf):
     return timestamps.normalise(o, "t", "z").select("o_orderkey", "epoch_us")
 
 
+_AGENTS = [
+    ("Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36", "Chrome", "Windows 10", "Other"),
+    ("Mozilla/5.0 (X11; Ubuntu; Linux x86_64; rv:109.0) Gecko/20100101 Firefox/115.0", "Firefox", "Ubuntu", "Other"),
+    ("Mozilla/5.0 (iPhone; CPU iPhone OS 16_0 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/16.0 Mobile/15E148 Safari/604.1", "Mobile Safari", "iOS", "iPhone"),
+    ("Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.0 Safari/605.1.15", "Safari", "Mac OS X", "Other"),
+    ("something else", "Other", "Other", "Other"),
+]
+
+
+@query(
+    f"with a(i, name, os_name, device) as (values {', '.join(str((i, *x[1:])) for i, x in enumerate(_AGENTS))}) "
+    "select strftime(ts, '%Y%m%d') as date_key, user_id, name, os_name, device, cast(floor(epoch(ts)) as bigint) // 3600 * 3600 as time_key, count(*) as total "
+    "from events join a on i = event_id % 5 where event_id % 7 <> 0 group by all"
+)
+def access_log_visits(spark, sf):
+    """Log lines written from events (every seventh of another form), read back, parsed and counted by hour."""
+    where = _folder(spark)
+    agent = F.element_at(F.array(*[F.lit(x[0]) for x in _AGENTS]), (F.col("event_id") % 5 + 1).cast("int"))
+    stamp = F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss")
+    line = F.format_string('10.0.0.1 - %d [%s +0000] "GET /x/%d HTTP/1.1" 200 12 "-" "%s"', "user_id", stamp, "event_id", agent)
+    odd = F.format_string('10.0.0.1 - - [%s +0000] "POST /x HTTP/1.1" 200 12 "-" "%s"', stamp, agent)
+    table(spark, sf, "events").select(F.when(F.col("event_id") % 7 != 0, line).otherwise(odd)).write.text(where)
+    return accesslog.hourly_visits(files.read_raw(spark, where))
+
+
+@query("select event_id, event_type as kind, cast(json_extract(props, '$.k') as integer) + n as k, timestamp '1970-01-01' as seen from events, (values (0), (100)) t(n) where event_id % 3 <> 0")
+def map_declared(spark, sf):
+    """A map of the model, run: two rows of each event but every third, which the function gives nothing for."""
+    source = Table("events", "file", (Column("event_id", "long"), Column("event_type", "string"), Column("props", "json")))
+    target = Table("event", "table", (Column("event_id", "long"), Column("kind", "string"), Column("k"), Column("seen", "timestamp", default="epoch()")))
+
+    def two(row):
+        k = json.loads(row["props"])["k"]
+        return None if row["event_id"] % 3 == 0 else [{"event_id": row["event_id"], "kind": row["event_type"], "k": k + n} for n in (0, 100)]
+
+    rows = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("event_id"), "event_type", "props")
+    return mapping.run_map(Map(source, target, two, distinct=True), rows)[0]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dimforge import session
-from dimforge.functions.merge import coalesce_merge, json_to_map, merge_entries
+from dimforge.functions.merge import coalesce_last, coalesce_merge, json_to_map, map_union, merge_entries
 from dimforge.operators import dimensions, facts, mapping
 from dimforge.operators.dimensions import Join, Lookup
 from dimforge.operators.facts import Member
@@ -335,10 +335,14 @@ def map_python_function(spark, sf):
     return got.where("error is null").select(F.col("event_id").cast("long").alias("event_id"), "label")
 
 
-@query("with x as (select user_id, key, value, event_id from (select user_id, event_id, unnest(json_keys(props)) as key, cast(json_extract(props, '$.k') as varchar) as value from events)) select user_id, key, value from x qualify row_number() over (partition by user_id, key order by event_id desc) = 1")
+@query(
+    "with x as (select user_id, event_id, 'k' as key, cast(json_extract(props, '$.k') as varchar) as value from events union all select user_id, event_id, event_type, cast(event_id as varchar) from events where event_id % 4 <> 0) "
+    "select user_id, key, value from x qualify row_number() over (partition by user_id, key order by event_id desc) = 1"
+)
 def key_value_merge(spark, sf):
-    e = table(spark, sf, "events")
-    merged = merge_entries(e, ["user_id"], json_to_map(F.col("props")), F.col("event_id"), "m")
+    """Maps of one or two keys, united by event: of each key the latest value."""
+    own = F.when(F.col("event_id") % 4 != 0, F.create_map("event_type", F.col("event_id").cast("string")))
+    merged = merge_entries(table(spark, sf, "events"), ["user_id"], map_union(json_to_map(F.col("props")), own), F.col("event_id"), "m")
     return merged.select("user_id", F.explode("m").alias("key", "value"))
 
 
@@ -346,7 +350,7 @@ def key_value_merge(spark, sf):
 def last_known_value(spark, sf):
     """The last value that isn't null, as an aggregate over each user's events in order."""
     e = table(spark, sf, "events").withColumn("v", F.when(F.col("event_id") % 3 != 0, F.col("event_type")))
-    return e.groupBy("user_id").agg(F.max_by("v", F.when(F.col("v").isNotNull(), F.col("event_id"))).alias("event_type"))
+    return e.groupBy("user_id").agg(coalesce_last(F.col("v"), F.col("event_id")).alias("event_type"))
 
 
 @query("select event_id, last_value(case when event_id % 3 <> 0 then event_type end ignore nulls) over (partition by user_id order by event_id) as event_type from events")

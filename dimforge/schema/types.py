@@ -32,6 +32,22 @@ def spark_type(kind: str, array: bool = False) -> T.DataType:
     return T.ArrayType(SPARK[kind]) if array else SPARK[kind]
 
 
+# The functions a default may name.
+_FUNCTIONS = {
+    "uuid()": lambda: F.uuid(), "uuid_generate_v4()": lambda: F.uuid(),
+    "now()": lambda: F.localtimestamp(), "current_timestamp()": lambda: F.localtimestamp(), "epoch()": lambda: F.lit("1970-01-01").cast("timestamp_ntz"),
+}
+
+
+def default_value(default: object, kind: str, array: bool = False) -> Column:
+    """A declared default as a column: a value, or what the function that it names gives for each row."""
+    if isinstance(default, str) and default.endswith("()"):
+        if default.lower() not in _FUNCTIONS:
+            raise ValueError(f"unknown default {default}")
+        return _FUNCTIONS[default.lower()]().cast(spark_type(kind, array))
+    return F.lit(default).cast(spark_type(kind, array))
+
+
 def _yaml_text(text: str | None) -> str | None:
     if text is None or not text.strip():
         return "{}"
@@ -53,14 +69,15 @@ def coerce(c: Column, kind: str, array: bool = False, values: tuple[str, ...] =
 
     integer: the leading digits, junk gives 0. boolean: 0, false / 1, true in any case, else null.
     timestamp: all digits are epoch seconds, else ISO text. json and yaml: JSON text of an object or
-    array, {} for none. An array is a JSON list; a bare scalar is a list of one, none an empty list.
+    array, {} for none. An array is a JSON list (null if it starts like one but isn't); a bare scalar is a list of one, none an empty list.
     """
     spark_type(kind)
     text = c.cast("string")
     if array:
         scalar = spark_type(kind).simpleString()
         listed = F.when(text.rlike(r"^\s*\["), F.from_json(text, f"array<{scalar}>"))
-        return F.coalesce(listed, F.when(_blank_null(text).isNotNull(), F.array(coerce(text, kind, values=values))), F.from_json(F.lit("[]"), f"array<{scalar}>"))
+        none = F.from_json(F.lit("[]"), f"array<{scalar}>")
+        return F.when(_blank_null(text).isNull(), none).when(text.rlike(r"^\s*\["), listed).otherwise(F.array(coerce(text, kind, values=values)))
     if kind in ("integer", "long", "sequence"):
         digits = F.regexp_extract(text, r"^\s*([+-]?\d+)", 1)
         return F.when(_blank_null(text).isNotNull(), F.when(digits == "", F.lit(0)).otherwise(digits.try_cast(SPARK[kind]))).cast(SPARK[kind])
@@ -74,7 +91,8 @@ def coerce(c: Column, kind: str, array: bool = False, values: tuple[str, ...] =
     if kind == "yaml":
         return _yaml_as_json(text)
     if kind == "key_value":
-        return F.from_json(F.coalesce(_blank_null(text), F.lit("{}")), "map<string,string>")
+        whole = F.coalesce(_blank_null(text), F.lit("{}"))
+        return F.when(F.try_parse_json(whole).isNotNull(), F.from_json(whole, "map<string,string>"))
     if kind == "enum":
         return F.when(text.isin(*values), text) if values else _blank_null(text)
     if kind in ("string", "uuid"):

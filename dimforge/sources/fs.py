@@ -7,6 +7,7 @@ Metadata goes through the driver's Hadoop FileSystem; nothing here reads file co
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,16 @@ def guard(path: str) -> str:
     return path
 
 
+def unescaped(name: str) -> str:
+    """A partition's value from its folder's name."""
+    return unquote(name)
+
+
+def plain(path: str) -> str:
+    """`path` as :func:`glob` gives it."""
+    return _plain(path[7:] if path.startswith("file:///") else path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     f, p = _at(spark, path)
     return f.exists(p)

@@ -1,8 +1,13 @@
+from dataclasses import replace
+
 import pytest
+from pyspark.sql import functions as F
 
 from dimforge import cli, runtime
+from dimforge.functions import accesslog
+from dimforge.operators import mapping
 from dimforge.schema import types
-from dimforge.schema.model import Catalog, Column, Reference, Row, Table
+from dimforge.schema.model import Catalog, Column, Map, Reference, Row, Table
 from dimforge.sources import files, fs
 from dimforge.sources.writers import Warehouse
 from dimforge.streaming import batches
@@ -62,6 +67,22 @@ def test_warehouse(spark, tmp_path):
     w.replace_periods("f", facts([(1, "y2024m01"), (2, "y2024m02")]))
     assert w.replace_periods("f", facts([(9, "y2024m02")])) == ["y2024m02"]
     assert sorted(map(tuple, w.read("f").collect())) == [(1, "y2024m01"), (9, "y2024m02")]
+    before = w.read("f")
+    publish, w._publish = w._publish, lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    for lost in (lambda: w.replace_periods("f", facts([(7, "y2024m01"), (8, "a/b=c%")])), lambda: w.replace("user_state_type", w.read("user_state_type").limit(0))):
+        with pytest.raises(OSError):
+            lost()  # written, but not committed: nobody sees it
+    w._publish = publish
+    assert sorted(r.v for r in w.read("f").collect()) == [1, 9] and w.read("user_state_type").count() == 1
+    w.replace_periods("f", facts([(8, "a/b=c%")]))
+    assert sorted(map(tuple, w.read("f").collect())) == [(1, "y2024m01"), (8, "a/b=c%"), (9, "y2024m02")]
+    assert sorted(r.v for r in before.collect()) == [1, 9]  # who began to read earlier isn't disturbed
+    w.vacuum("f")
+    assert sorted(r.v for r in w.read("f").collect()) == [1, 8, 9] and len(list((tmp_path / "w" / "f").glob("*=*/*"))) == 3
+    with pytest.raises(ValueError):
+        w.replace_periods("user_state_type", facts([(1, "x")]))
+    with pytest.raises(FileNotFoundError):
+        w.read("nothing")
 
 
 def test_streams(spark, tmp_path):
@@ -74,8 +95,8 @@ def test_streams(spark, tmp_path):
     go()
     rows([(1, "A", 1704067201)])
     go()
-    assert sorted((r.k, r.v, r.period) for r in w.read("f").collect()) == [(1, "A", "y2024m01"), (1, "a", "y2024m01"), (2, "b", "y2024m02")]
-    assert sorted((r.k, r.v) for r in w.read("d").collect()) == [(1, "A"), (2, "b")]
+    assert sorted((r.k, r.v, r.period) for r in batches.facts(w, "f").collect()) == [(1, "A", "y2024m01"), (1, "a", "y2024m01"), (2, "b", "y2024m02")]
+    assert sorted((r.k, r.v) for r in batches.dimension(w, "d").collect()) == [(1, "A"), (2, "b")]
 
 
 def test_model():
@@ -126,3 +147,63 @@ def test_cli(spark, tmp_path, capsys):
     assert capsys.readouterr().out.split() == ["id", "2"]
     assert cli.main(["dump", "--tables", f"{tmp_path}/t"]) == 0 and "CREATE TABLE n" in capsys.readouterr().out
     assert cli.main(["sql", "--exec", "select 1 as one", "--output", f"{tmp_path}/o"]) == 0
+
+
+def test_plan_command(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "2021-06-09.txt").write_text("x")
+    (tmp_path / "p.py").write_text(f"""
+import os
+from dimforge.plans.planner import Planner
+
+def planner(spark):
+    p = Planner(spark)
+    def run(planner, rule, todo):
+        for t in todo:
+            os.makedirs(t)
+            open(t + "/part", "w").write("x")
+    p.rule("copy", "{tmp_path}/in/%Y-%m-%d.txt", "{tmp_path}/out/d=%Y-%m-%d", run)
+    return p
+""")
+    said = lambda *a: (cli.main([*a]), capsys.readouterr().out.split())[1]
+    assert said("--dry-run", "--start", "2021-06-09", "--stop", "2021-06-09", "plan", f"{tmp_path}/p.py", "copy") == [f"{tmp_path}/out/d=2021-06-09"]
+    assert said("plan", f"{tmp_path}/p.py", "copy", "--sources", f"{tmp_path}/in/2021-06-09.txt") == ["copy"]
+    assert said("plan", f"{tmp_path}/p.py", "copy", "--targets", f"{tmp_path}/out/d=2021-06-09") == []
+
+
+def test_access_log(spark):
+    agents = ["Mozilla/5.0 (Windows; U; Windows NT 6.0; pl) Gecko/2008 Firefox/2.0 Flock/1.2", "Mozilla/5.0 (Windows; U; Windows NT 5.0) Gecko/2005 SeaMonkey/1.0b", "Mozilla/5.0 (X11; U; Linux i686; rv:1.8) Gecko/2007 (Debian-1.8)", "Mozilla/5.0 (Windows NT 5.1) AppleWebKit/525 (KHTML, like Gecko) Version/3.1 Safari/525", "Mozilla/5.0 (X11; Linux i686) Gecko/2005 Epiphany/1.8 (Ubuntu)", ""]
+    lines = [f'1.2.3.4 - 7 [01/Oct/2015:23:46:23 -0200] "GET /a HTTP/1.1" 200 1 "-" "{a}"' for a in agents] + ["# no", '1.2.3.4 - 7 [31/Foo/2015:23:46:23 -0200] "GET /a HTTP/1.1" 200 1 "-" "x"']
+    got = {(r.name, r.os_name, r.device): (r.date_key, r.time_key, r.total) for r in accesslog.hourly_visits(spark.createDataFrame([(x,) for x in [*lines, lines[0], None]], "data string")).collect()}
+    at = ("20151002", 1443747600)
+    assert got == {("Flock", "Windows Vista", "Other"): (*at, 2), ("SeaMonkey", "Windows 2000", "Other"): (*at, 1), ("Other", "Debian", "Other"): (*at, 1), ("Safari", "Windows XP", "Other"): (*at, 1), ("Epiphany", "Ubuntu", "Other"): (*at, 1), ("Other", "Other", "Other"): (*at, 1)}
+
+
+def test_maps_run(spark):
+    status = Table("status", "mini", (Column("name", "string", unique=("name",)),))
+    file = Table("raw", "file", (Column("id", "long"), Column("n", null=True), Column("doc", "json", null=True)))
+    user = Table("user", "one", (Column("user_id", "long", natural_key=True), Column("token", "uuid"), Column("note", "string", null=True)), (Reference(status, default=True),))
+    assert [c.name for c in mapping.output_table(Map(file, user)).columns] == ["user_id", "token", "note", "status.name", "last_modified_at"]
+    rows = spark.createDataFrame([("1", "2", '{"a": 1}'), ("1", "2", '{"a": 1}'), ("x", "", None), ("3", "0", "{bad"), (None, "1", None), ("5", "5", None)], "id string, n string, doc string")
+
+    def work(row):
+        return {"user_id": row["id"], "note": str(10 // row["n"]), "status.name": "new"}
+
+    good, bad = mapping.run_map(Map(file, replace_default(user), work), rows)
+    got = sorted((r.user_id, r.note, r["status.name"], len(r.token)) for r in good.collect())
+    assert got == [(1, "5", "new", 36), (1, "5", "new", 36), (5, "2", "new", 36)]
+    why = sorted(r.reject.split(":")[0] for r in bad.collect())
+    assert why == ["TypeError", "could not coerce doc", "missing id"]
+    one = mapping.run_map(Map(file, user, expressions={"user_id": F.col("id"), "note": F.col("n").cast("string")}, distinct=True), rows)[0]
+    assert sorted(map(tuple, one.collect()), key=str) == [(0, None), (1, "2"), (5, "5")]
+    with pytest.raises(Exception, match="could not coerce|missing"):
+        mapping.run_map(Map(file, user, work, fail_fast=True), rows)[0].collect()
+    with pytest.raises(ValueError):
+        mapping.output_table(Map(file, user, expressions={"nothing": F.lit(1)}))
+    with pytest.raises(ValueError):
+        types.default_value("launch()", "string")
+
+
+def replace_default(user):
+    """`user` with a default of its own for each row's token."""
+    return replace(user, columns=tuple(replace(c, default="uuid()") if c.name == "token" else c for c in user.columns))
