@@ -1,8 +1,8 @@
 """References to records that don't exist, or came later than what refers to them.
 
 A Bloom filter of the parent keys is built where they are, combined word by word and broadcast, its
-size bounded. A reference whose bits aren't all set is a definite orphan and goes no
-further; only the rest are looked up by an exact join. The filter never decides that a parent exists,
+size bounded. A reference whose bits aren't all set is a definite orphan;
+only the rest are looked up, by an exact join. The filter never decides that a parent exists,
 so its size affects cost, not results.
 """
 
@@ -102,12 +102,11 @@ def find(refs: DataFrame, *, ref: str, keep: Sequence[str], parents: DataFrame,
     r = r.where(F.col(key).isNotNull() & (F.col(key) != "" if text else F.lit(True)))
     keys = parents.select(norm(col(parent_key)).alias(parent), (col(parent_changed) if parent_changed else none).alias(since)).where(F.col(parent).isNotNull())
     tested = bloom(keys, parent, expected).test(r, key, maybe)
-    definite = tested.where(~F.col(maybe)).select(*[col(k) for k in keep], F.lit("missing").alias("kind"))
     one = keys.groupBy(parent).agg(F.min(since).alias(since))
-    checked = tested.where(F.col(maybe)).join(one, F.col(key) == F.col(parent), "left")
+    # One pass: references the filter has ruled out stay in it, but nothing is looked up for them.
+    checked = tested.join(one, (F.col(key) == F.col(parent)) & F.col(maybe), "left")
     kind = F.when(F.col(parent).isNull(), "missing").when(F.col(since) > F.col(at), "late")
-    verified = checked.select(*[col(k) for k in keep], kind.alias("kind")).where("kind is not null")
-    return definite.unionByName(verified)
+    return checked.select(*[col(k) for k in keep], kind.alias("kind")).where("kind is not null")
 
 
 def report(found: DataFrame, by: Sequence[str]) -> DataFrame:
