@@ -22,12 +22,12 @@ from dimforge.operators.scan import LARGE, by_size, running
 UNIT = {"hourly": "hour", "daily": "day", "monthly": "month"}
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update: Sequence[str] | None = None) -> DataFrame:
+def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update: Sequence[str] | None = None, newest: Sequence[str] = ()) -> DataFrame:
     """`target` with `source` merged in: matching rows get each of `update` that isn't null in the source, others are added.
 
     `update` None means every shared column but the keys. Rows match when all keys are equal; a null key
     equals nothing, so such rows are added. Several source rows with one key count as the greatest of
-    them. Columns only the target has are kept, and null in added rows; columns only the source has are
+    them, by the source columns `newest` first. Columns only the target has are kept, and null in added rows; columns only the source has are
     dropped.
     """
     require(target, *keys)
@@ -36,7 +36,9 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update: Se
     update = shared if update is None else [c for c in update if c in shared]
     maps = [c for c in shared if dict(source.dtypes)[c].startswith("map<")]
     plain = [c for c in shared if c not in maps]
-    rank = F.struct(*[col(c) for c in plain], *[comparable(col(c)).alias(c) for c in maps]) if shared else F.struct(F.lit(1).alias("one"))
+    require(source, *newest)
+    first = [col(c).alias(f"__newest{i}") for i, c in enumerate(newest)]
+    rank = F.struct(*first, *[col(c) for c in plain], *[comparable(col(c)).alias(c) for c in maps]) if shared else F.struct(*first, F.lit(1).alias("one"))
     usable = F.lit(True)
     for k in keys:
         usable = usable & col(k).isNotNull()

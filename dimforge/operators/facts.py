@@ -148,19 +148,21 @@ def month_key(key: Column) -> Column:
     return (F.floor(key / 100).cast("int") * 100 + 1).cast("int")
 
 
-def rollup(fact: DataFrame, *, grain: str, date_key: str, keys: Sequence[str] = (), measures: dict[str, str], time_key: str = "time_key", members: DataFrame | None = None, member_key: str = "id", member_date: str = "date_id") -> DataFrame:
+def rollup(fact: DataFrame, *, grain: str, date_key: str, keys: Sequence[str] = (), measures: dict[str, str], time_key: str = "time_key", members: DataFrame | None = None, member_key: str = "id", member_date: str = "date_id", between: tuple[int, int] | None = None) -> DataFrame:
     """`fact` at a coarser grain: date key, `keys`, measures and the period's `time_key` (epoch seconds).
 
     hourly keeps the date and cuts `time_key` to the hour; daily and monthly take the time from the date.
     `measures` maps columns to sum, min, max or average. The date key is the yyyymmdd number itself, or,
     with `members` (the date dimension), a foreign key that is looked up there; facts without a date
-    there are dropped. Partial sums are made before the shuffle. An average of averages is what it says.
+    there are dropped. `between` (epoch seconds, the end excluded) reads only facts of that time. Partial sums are made before the shuffle. An average of averages is what it says.
     """
     require(fact, date_key, *keys, *measures)
     unknown = [a for a in measures.values() if a not in AGGREGATE]
     if unknown:
         raise ValueError(f"unknown aggregates {unknown}")
     rows = fact
+    if between is not None:
+        rows = in_period(rows, *between, time_key)
     if members is not None:
         d = members.select(col(member_key).alias("__dk"), col(member_date).alias("__date"))
         rows = rows.join(d, col(date_key) == F.col("__dk")).drop("__dk")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import json
+import os
+import subprocess
+import threading
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
 from typing import Any
@@ -59,6 +64,32 @@ def apply(source: DataFrame, function: Callable[..., Any], schema: T.StructType,
     return mapped.distinct() if distinct else mapped
 
 
+def pipe(lines: DataFrame, column: str, command: Sequence[str], *, env: dict[str, str] | None = None) -> DataFrame:
+    """Text lines through an external program, one process per partition: what it prints, line by line, as `line`.
+
+    The program is started without a shell and must be on every executor; its standard input is the partition's
+    lines, its errors go to the executor's log. A failing program fails the task. Nulls aren't given to it.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = subprocess.Popen(list(command), stdin=subprocess.PIPE, stdout=subprocess.PIPE, env={**os.environ, **(env or {})}, encoding="utf-8", errors="replace")
+
+        def feed() -> None:
+            with contextlib.suppress(BrokenPipeError), p.stdin:
+                for b in batches:
+                    p.stdin.writelines(f"{t}\n" for t in b.column(0).to_pylist() if t is not None)
+
+        feeder = threading.Thread(target=feed, daemon=True)
+        feeder.start()
+        while part := list(itertools.islice(p.stdout, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array([x.removesuffix("\n") for x in part], pa.string())], names=["line"])
+        feeder.join()
+        if p.wait():
+            raise RuntimeError(f"{command[0]} ended with {p.returncode}")
+
+    return lines.select(col(column)).mapInArrow(work, "line string")
+
+
 def coerced(rows: DataFrame, table: Table, keep: Sequence[str] = ()) -> DataFrame:
     """`rows` of text as `table`'s types, with `reject`: the reason a row can't be in the table, null if it can.
 
@@ -132,11 +163,15 @@ def run_map(m: Map, rows: DataFrame, *, line: str | None = None) -> tuple[DataFr
 # ------------------------------------------------------------------------------------------- audits
 
 
-def missing_parents(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """Rows whose non-null `key` no parent has: what a foreign key would refuse."""
-    require(child, key)
-    p = parent.select(col(parent_key).alias("__pk"))
-    return child.where(col(key).isNotNull()).join(p, col(key) == F.col("__pk"), "left_anti")
+def missing_parents(child: DataFrame, key: str | Sequence[str], parent: DataFrame, parent_key: str | Sequence[str]) -> DataFrame:
+    """Rows whose `key` no parent has: what a foreign key would refuse. A key of several columns counts if none of them is null."""
+    keys, theirs = ([x] if isinstance(x, str) else list(x) for x in (key, parent_key))
+    require(child, *keys)
+    p = parent.select(*[col(k).alias(f"__pk{i}") for i, k in enumerate(theirs)])
+    on, whole = F.lit(True), F.lit(True)
+    for i, k in enumerate(keys):
+        on, whole = on & (col(k) == F.col(f"__pk{i}")), whole & col(k).isNotNull()
+    return child.where(whole).join(p, on, "left_anti")
 
 
 def duplicates(table: DataFrame, columns: Sequence[str]) -> DataFrame:

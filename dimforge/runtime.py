@@ -95,3 +95,17 @@ def configure(text: str, env: dict[str, str] | None = None) -> dict[str, Any]:
     if got is None:
         raise ValueError("settings must be a mapping")
     return got
+
+
+class Hooks:
+    """Functions to be called at named moments, the lowest priority first; equal ones in the order they were added."""
+
+    def __init__(self) -> None:
+        self._of: dict[str, list[tuple[int, int, Callable[..., Any]]]] = {}
+
+    def add(self, moment: str, f: Callable[..., Any], priority: int = 0) -> None:
+        known = self._of.setdefault(moment, [])
+        known.append((priority, len(known), f))
+
+    def call(self, moment: str, *args: Any) -> list[Any]:
+        return [f(*args) for _, _, f in sorted(self._of.get(moment, []), key=lambda x: x[:2])]

@@ -6,7 +6,8 @@ call the result; data are DataFrames handed in beside it.
 
 from __future__ import annotations
 
-import hashlib
+import calendar
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -180,13 +181,19 @@ class Table:
         out += [T.StructField(n, kinds.get(n, T.TimestampNTZType()), n == "end_at") for n in self.reserved]
         return T.StructType(out)
 
-    def constraint_id(self, *names: str) -> str:
-        return hashlib.md5("_".join(sorted(names)).encode(), usedforsecurity=False).hexdigest()[:7]
-
     def period_path(self, year: int, month: int) -> str:
         """Partition of a month, from the `partition` pattern (y%Ym%m)."""
         return (self.partition or "y%Ym%m").replace("%Y", f"{year:04d}").replace("%m", f"{month:02d}")
 
+    def periods(self, start: dt.date, stop: dt.date) -> list[tuple[str, int, int]]:
+        """The partitions from `start` to `stop`, both included: name, and the epoch seconds it begins with and ends before."""
+        out, month = [], start.replace(day=1)
+        while month <= stop:
+            after = (month + dt.timedelta(days=32)).replace(day=1)
+            out.append((self.period_path(month.year, month.month), *(calendar.timegm(d.timetuple()) for d in (month, after))))
+            month = after
+        return out
+
     def seed(self) -> list[dict[str, Any]]:
         """Seed rows, checked: unknown columns are errors, defaults are filled in."""
         known = {c.name: c for c in self.columns}

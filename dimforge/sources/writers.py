@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import json
 import uuid
 from collections.abc import Iterable
@@ -9,6 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dimforge.schema.model import order_by_dependency
 from dimforge.sources import fs
 
 
@@ -42,9 +44,10 @@ class Warehouse:
     def exists(self, name: str) -> bool:
         return self._version(name)[0] > 0
 
-    def tables(self) -> list[str]:
+    def tables(self, include: str = "*", exclude: Iterable[str] = ()) -> list[str]:
         names = [p.rstrip("/").rsplit("/", 1)[-1] for p in fs.glob(self.spark, f"{self.root}/*")]
-        return [n for n in names if not n.startswith(("_", ".")) and self.exists(n)]
+        named = [n for n in names if not n.startswith(("_", ".")) and fnmatch.fnmatchcase(n, include) and not any(fnmatch.fnmatchcase(n, x) for x in exclude)]
+        return [n for n in named if self.exists(n)]
 
     def read(self, name: str) -> DataFrame:
         _, said = self._version(name)
@@ -55,8 +58,11 @@ class Warehouse:
             return self.spark.createDataFrame([], said["schema"])
         return self.spark.read.schema(said["schema"]).option("basePath", self.path(name)).parquet(*folders)
 
-    def replace(self, name: str, df: DataFrame) -> None:
-        """The whole table; `df` may read the table itself."""
+    def replace(self, name: str, df: DataFrame, order: Iterable[str] = ()) -> None:
+        """The whole table; `df` may read the table itself. Rows lie in ranges of the columns `order`, sorted: scans skip what filters on these rule out."""
+        order = list(order)
+        if order:
+            df = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
         where = f"data-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path(name)}/{where}")
         self._publish(name, self._version(name)[0] + 1, {"schema": _ddl(df), "by": None, "periods": {"": where}})
@@ -96,8 +102,10 @@ class Warehouse:
         self.spark.sql(f"DROP DATABASE IF EXISTS `{name}` CASCADE")
 
     def define(self, tables: Iterable) -> None:
-        """Empty tables for those that aren't there yet, seed rows included."""
-        for t in tables:
+        """Empty tables for those that aren't there yet, seed rows included; what a table refers to comes first."""
+        given = {t.full_name: t for t in tables}
+        names = order_by_dependency({n: [r.table.full_name for r in t.references if r.table.full_name in given] for n, t in given.items()})
+        for t in (given[n] for n in names):
             if not self.exists(t.full_name):
                 rows = t.seed()
                 schema = t.schema()
