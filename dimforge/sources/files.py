@@ -21,10 +21,11 @@ def _existing(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
     return [p for p in ([paths] if isinstance(paths, str) else dict.fromkeys(paths)) if fs.glob(spark, p)]
 
 
-def read_delimited(spark: SparkSession, paths: str | Sequence[str], table: Table, store: str = "postgres", **options: str) -> DataFrame:
+def read_delimited(spark: SparkSession, paths: str | Sequence[str], table: Table, store: str = "postgres", *, line_breaks: bool = True, **options: str) -> DataFrame:
     """A file's rows as text columns in the order `table` declares; comments and blank lines aside.
 
-    Invalid UTF-8 is replaced. Quoted fields may hold separators and line breaks. With a header, columns
+    Invalid UTF-8 is replaced. Quoted fields may hold separators and, unless `line_breaks` is
+    false, line breaks; without them a large file is read by many tasks, with them by one. With a header, columns
     go by name; otherwise by place. Missing paths are left out; with none the result is empty.
     """
     o = STORES[store]
@@ -32,7 +33,7 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], table: Table
     have = _existing(spark, paths)
     if not have:
         return spark.createDataFrame([], schema)
-    opts = {"sep": o["sep"] or "\x01", "header": str(o["header"]).lower(), "comment": "#", "encoding": "UTF-8", "quote": '"', "escape": '"', "multiLine": "true", "enforceSchema": "true", "nullValue": "", "mode": "PERMISSIVE", **options}
+    opts = {"sep": o["sep"] or "\x01", "header": str(o["header"]).lower(), "comment": "#", "encoding": "UTF-8", "quote": '"', "escape": '"', "multiLine": str(line_breaks).lower(), "enforceSchema": "true", "nullValue": "", "mode": "PERMISSIVE", **options}
     return spark.read.options(**opts).schema(schema).csv(have)
 
 
