@@ -45,9 +45,10 @@ def test_snapshot(spark, backwards):
         for i in range(150)
     ]
     df = spark.createDataFrame([*rows, (1, "z", 9, None, None, 0, "x")], L)
-    got = dim.snapshot(df, **ARGS, backwards=backwards).collect()
-    assert {(r.u, r.start_at): (r.s, r.n, r.m or {}) for r in got} == snapshot_by_hand(rows, backwards)
-    assert len(got) == len(snapshot_by_hand(rows, backwards))
+    for large in (10**6, 30, 0):  # no key, some, all keys spread over days
+        got = dim.snapshot(df, **ARGS, backwards=backwards, large=large).collect()
+        assert {(r.u, r.start_at): (r.s, r.n, r.m or {}) for r in got} == snapshot_by_hand(rows, backwards)
+        assert len(got) == len(snapshot_by_hand(rows, backwards))
     assert dim.snapshot(df.limit(0), **ARGS).count() == 0
     assert dim.snapshot(df, **ARGS, required=["s", "n"]).where("s is null or n is null").count() == 0
 
@@ -71,6 +72,25 @@ def test_versions_across_months(spark):
     assert got[:3] == [(1, T0), (1, T0), (3, T0 + timedelta(days=11))] and got[-1][0] == 31
 
 
+@pytest.mark.parametrize("more", [{}, {"required": ["s"], "defaults": {"n": 7}, "grain": "daily"}])
+def test_consolidate_both_ways_of_large_keys(spark, more):
+    rnd = random.Random(11)
+    rows = [
+        (rnd.choice([1, 1, 1, 2, None]), rnd.choice([None, "a", "b"]), rnd.choice([None, 1, 2]), rnd.choice([None, {"x": "1"}, {"y": "2"}]), T0 + timedelta(hours=9 * rnd.randrange(60)), rnd.choice([0, 1, 1, 1]), f"{i:03d}")
+        for i in range(120)
+    ]
+    df = spark.createDataFrame(rows, L)
+    flat = lambda got: sorted((str(r.u), str(r.s), str(r.n), str(sorted((r.m or {}).items())), str(r.start_at), r.version, str(r.end_at)) for r in got.collect())
+    usual = flat(dim.consolidate(df, **ARGS, **more))
+    ahead = {(str(u), str(t)): v for (u, t), v in snapshot_by_hand([r for r in rows if r[0] is not None]).items()}
+    assert len(usual) > 20 and (more or all(str(ahead[k][0]) == s for u, s, _, _, t, _, _ in usual if (k := (u, t)) in ahead and ahead[k][0]))
+    assert flat(dim.consolidate(df.where("u is not null"), **ARGS, **more, large=0)) == [r for r in usual if r[0] != "None"]
+    old = spark.createDataFrame([(1, "z", 9, None, T0 - timedelta(days=40), 1, None)], "u int, s string, n int, m map<string,string>, start_at timestamp_ntz, version int, end_at timestamp_ntz")
+    merged = flat(dim.consolidate(df.where("u is not null"), **ARGS, **more, target=old))
+    assert len(merged) == len([r for r in usual if r[0] != "None"]) + 1 and sum(r[1] == "z" for r in merged) == 1
+    assert dim.consolidate(df.limit(0), **ARGS).count() == 0
+
+
 def test_upsert(spark):
     t = spark.createDataFrame([(1, "a", 1, "only"), (2, "b", 2, None), (None, "n", 3, None)], "k int, v string, w int, mine string")
     s = spark.createDataFrame([(1, None, 10, 0), (2, "B", 20, 0), (2, "A", 20, 0), (3, "c", 30, 0), (None, "new", 40, 0)], "k int, v string, w int, theirs int")

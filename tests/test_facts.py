@@ -21,10 +21,22 @@ def test_temporal(spark):
     find = lambda **k: sorted((r.tag, r.user_id) for r in facts.stage_fact(src, [Member("user_id", users, {"user": "u"}, temporal=True, **k)], time_key="time_key", keep=["tag"]).collect())
     assert find() == [("early", 1), ("edge", 1), ("edge", 2), ("first", 1), ("open", 2)]
     assert find(half_open=True, unknown=-2) == [("early", 1), ("edge", 2), ("first", 1), ("nobody", -2), ("null", -2), ("open", 2)]
+    assert find(sequential=True) == find() and find(sequential=True, half_open=True, unknown=-2) == find(half_open=True, unknown=-2)
+    assert find(sequential=True, unknown=-2) == find(unknown=-2)
     with pytest.raises(ValueError):
         facts.stage_fact(src, [Member("user_id", users, {"user": "u"}, temporal=True)])
 
 
+def test_sequential_versions_with_gaps(spark):
+    """Ends before the next begins, a first version that isn't numbered 1, two keys, and times at every edge: as the plain join has it."""
+    rows = [(1, 7, "x", d(2), d(4), 1), (2, 7, "x", d(6), d(8), 2), (3, 7, "x", d(8), None, 3), (4, 7, "y", d(5), d(6), 2), (5, None, "y", d(1), None, 1)]
+    users = spark.createDataFrame(rows, "id long, user int, place string, start_at timestamp_ntz, end_at timestamp_ntz, version int")
+    src = spark.createDataFrame([(u, p, sec(n), f"{u}{p}{n}") for u in (7, 8, None) for p in ("x", "y", None) for n in range(1, 11)], "u long, p string, time_key long, tag string")
+    for more in ({}, {"unknown": -2}, {"half_open": True}, {"half_open": True, "unknown": -2}):
+        got = [sorted((r.tag, r.user_id) for r in facts.stage_fact(src, [Member("user_id", users, {"user": "u", "place": "p"}, temporal=True, sequential=q, **more)], time_key="time_key", keep=["tag"]).collect()) for q in (False, True)]
+        assert got[0] == got[1] and got[0], more
+
+
 def test_through_default_degenerate_and_cycles(spark):
     groups = spark.createDataFrame([(1, 5, 100)], "id long, grp int, tenant int")
     tenants = spark.createDataFrame([(11, 100), (12, 200)], "id long, tenant int")
