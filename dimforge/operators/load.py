@@ -48,7 +48,7 @@ def insert_missing_members(rows: DataFrame, target: Table, members: Members) ->
     out = dict(members)
     for ref in target.references:
         on = _key_columns(ref, rows.columns)
-        if not ref.insert or not on or ref.degenerate:
+        if not ref.insert or not on or ref.degenerate or ref.implicit:
             continue
         plain = {n: c.default for n, c in ((c.name, c) for c in ref.table.columns) if n in on and c.default is not None and not str(c.default).endswith("()")}
         optional = [c.name for c in ref.table.columns if c.name in on and c.null]
@@ -163,13 +163,14 @@ def denormalize(table: DataFrame, model: Table, members: Members, *, order: list
     def joins(t: Table, prefix: str) -> list[dimensions.Join]:
         out = []
         for r in t.references:
-            if r.degenerate or not r.denormalize:
+            if r.degenerate or r.implicit or not r.denormalize:
                 continue
             shown = {f"{prefix}{r.alias}_{c.name}": c.name for c in r.table.columns if c.in_natural_key and not c.ignore and not c.auto}
             out.append(dimensions.Join(r.key, members[r.table.full_name], shown, r.table.surrogate, tuple(joins(r.table, f"{prefix}{r.alias}_")) if all(x.key in members[r.table.full_name].columns for x in r.table.references) else ()))
         return out
 
     own = [r.key for r in model.references if r.degenerate and r.key in table.columns]
+    own += [n for r in model.references if r.implicit for c in r.table.columns if c.in_natural_key and (n := f"{r.alias}_{c.name}") in table.columns]
     own += [c.name for c in model.columns if not c.ignore and not c.surrogate_key and c.name in table.columns]
     own += [n for n in model.reserved if n in table.columns]
     return dimensions.denormalize(table, joins(model, ""), own, order=order, include=include, exclude=exclude)

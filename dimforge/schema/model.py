@@ -68,7 +68,8 @@ class Reference:
 
     `default` fills a missing key, `unknown` stands in for a member that isn't found (else the row is
     dropped from facts), `through` names references whose columns complete the key, `degenerate`
-    passes the key through without a join, `insert` creates members on the fly.
+    passes the key through without a join, `implicit` says that what there is to know of the member stands in the row
+    itself, `insert` creates members on the fly.
     """
 
     table: Table
@@ -81,6 +82,7 @@ class Reference:
     multiple: bool = False
     denormalize: bool = True
     degenerate: bool = False
+    implicit: bool = False
     through: tuple[str, ...] = ()
 
     @property

@@ -3,8 +3,9 @@ import datetime as dt
 import pytest
 
 from dimforge import runtime
-from dimforge.operators import dimensions, facts, mapping
+from dimforge.operators import dimensions, facts, load, mapping
 from dimforge.schema.model import Column, Reference, Table
+from dimforge.sources import fs
 from dimforge.sources.writers import Warehouse
 
 
@@ -53,3 +54,22 @@ def test_hooks():
         h.add("before", lambda x, n=n: said.append((n, x)), p)
     h.call("before", 1)
     assert said == [("first", 1), ("a", 1), ("b", 1), ("late", 1)] and h.call("after") == []
+
+
+def test_sync(spark, tmp_path):
+    (tmp_path / "a" / "x").mkdir(parents=True)
+    for n, text in (("a/one", "1"), ("a/x/two", "22")):
+        (tmp_path / n).write_text(text)
+    go = lambda: fs.sync(spark, f"{tmp_path}/a", f"{tmp_path}/b")
+    assert go() == ["one", "x/two"] and (tmp_path / "b" / "x" / "two").read_text() == "22"
+    assert go() == []
+    (tmp_path / "a" / "one").write_text("longer")
+    (tmp_path / "b" / "kept").write_text("k")
+    assert go() == ["one"] and (tmp_path / "b" / "one").read_text() == "longer" and (tmp_path / "b" / "kept").exists()
+
+
+def test_implicit_references(spark):
+    state = Table("state", "mini", (Column("name", "string", unique=("name",)),))
+    t = Table("visits", "fact", (Column("total", measure=True),), (Reference(state, implicit=True),), grain="hourly")
+    rows = spark.createDataFrame([("on", 3)], "state_type_name string, total int")
+    assert load.denormalize(rows, t, {}).columns == ["state_type_name", "total"]
