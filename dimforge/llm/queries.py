@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dimforge.llm import langid, mixing, packing, tokens
+from dimforge.session import materialise
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -54,6 +55,41 @@ def p9_scarce(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(_mix(spark, sf, fraction=0.5), _table(spark, sf, "mix_target"))
 
 
+def p8_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each kind of container: texts packed, and how often a rule of packing is broken."""
+    kinds = _table(spark, sf, "container_size").groupBy("container_name").agg(F.max("capacity_tokens").alias("capacity_tokens"))
+    packed = materialise(p8_packed(spark, sf), "packed")
+    bins = packed.groupBy("container_name", "bin_id").agg(F.sum("n_tokens").alias("n"))
+    over = bins.join(kinds, "container_name").groupBy("container_name").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("n_overfull"))
+    # Pieces lie end to end if each begins at the sum of those before it; equal counts and sums say so without an order.
+    docs = packed.groupBy("container_name", "doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.count(F.lit(1)).alias("pieces"), F.max("piece_no").alias("last"), F.countDistinct("start_token").alias("starts"))
+    torn = (F.col("n") != F.col("end")) | (F.col("pieces") != F.col("last")) | (F.col("starts") != F.col("pieces"))
+    split = (F.col("pieces") > 1) & (F.col("n") <= F.col("capacity_tokens"))
+    checked = docs.join(kinds, "container_name").groupBy("container_name", "capacity_tokens").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(torn).alias("n_torn"), F.count_if(split).alias("n_split_needlessly"))
+    return checked.join(over, "container_name")
+
+
+P8_KEPT = "select container_name, max(capacity_tokens) as capacity_tokens, (select count(*) from documents where text is not null) as n_docs, 0::bigint as n_torn, 0::bigint as n_split_needlessly, 0::bigint as n_overfull from container_size group by 1"
+
+
+def p9_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each mix and source: whether anything was taken, and how often a rule of mixing is broken."""
+    wanted = _table(spark, sf, "mix_target").groupBy("mix_name", mixing.source_key(F.col("source")).alias("source")).agg(F.max("max_repeats").alias("r"))
+    mixed = materialise(p9_mixed(spark, sf), "mixed")
+    own = _table(spark, sf, "documents").where("text is not null").select("doc_id", mixing.source_key(F.col("source")).alias("s"))
+    taken = mixed.groupBy("mix_name", "source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("epoch").alias("last"), F.countDistinct("epoch").alias("epochs")).join(own, "doc_id", "left")
+    bad = taken.join(wanted, ["mix_name", "source"]).groupBy("mix_name", "source").agg(
+        F.count_if((F.col("last") > F.col("r")) | (F.col("n") > F.col("r"))).alias("over"), F.count_if(F.col("n") != F.col("epochs")).alias("twice"), F.count_if(~F.col("s").eqNullSafe(F.col("source"))).alias("strange"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(f"n_{c}")
+    return wanted.join(bad, ["mix_name", "source"], "left").select("mix_name", "source", F.col("over").isNotNull().alias("taken"), zero("over"), zero("twice"), zero("strange"))
+
+
+_SOURCE = "regexp_replace(lower(trim(source)), '[-\\s]+', '_', 'g')"
+P9_KEPT = f"""
+select mix_name, {_SOURCE} as source, {_SOURCE} in (select {_SOURCE} from documents where length(text) > 0) as taken, 0::bigint as n_over, 0::bigint as n_twice, 0::bigint as n_strange from mix_target group by all
+"""
+
+
 def _model(spark: SparkSession, sf: str) -> langid.Model:
     return langid.fit(_table(spark, sf, "documents"), doc_id="doc_id", text="text", label="lang")
 
@@ -69,9 +105,9 @@ def p10_languages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_packed, p8_fill, p9_mixed, p9_shares, p9_scarce, p10_found, p10_languages)}
+    return {f.__name__: f for f in (p8_packed, p8_fill, p8_kept, p9_mixed, p9_shares, p9_scarce, p9_kept, p10_found, p10_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Tokenizers, packing, seeded order and compression have no SQL; tests hold them against plain Python."""
-    return {}
+    """Tokenizers, packing, seeded order and compression have no SQL; the rules of packing and mixing have."""
+    return {"p8_kept": P8_KEPT, "p9_kept": P9_KEPT}
