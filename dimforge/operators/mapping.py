@@ -197,3 +197,17 @@ def seed(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def freshness(table: DataFrame, column: str = "last_modified_at") -> DataFrame:
     """One row: the latest `column`, cut to the minute."""
     return table.agg(F.date_trunc("minute", F.max(col(column))).cast("timestamp_ntz").alias("last_modified_at"))
+
+
+def statistics(table: DataFrame) -> DataFrame:
+    """One row per column that can be ordered: `column`, `n_rows`, `n_null`, about how many distinct values, `least` and `greatest` as text.
+
+    One pass, combined on the map side; maps and the like are left out.
+    """
+    names = [n for n, k in table.dtypes if not any(x in k for x in ("map<", "variant", "array<", "struct<"))]
+    if not names:
+        raise ValueError("no column can be ordered")
+    got = table.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.count_if(col(c).isNull()), F.approx_count_distinct(col(c)), F.min(col(c)).cast("string"), F.max(col(c)).cast("string")).alias(f"s{i}") for i, c in enumerate(names)])
+    part = lambda i: [F.col(f"s{i}")[f"col{j}"].alias(n) for j, n in enumerate(("n_null", "n_distinct", "least", "greatest"), 1)]
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col("n").alias("n_rows"), *part(i)) for i, c in enumerate(names)])
+    return got.select(F.explode(rows).alias("r")).select("r.*")

@@ -500,6 +500,11 @@ def table_freshness(spark, sf):
     return mapping.freshness(table(spark, sf, "user_dimension"))
 
 
+@query(" union all ".join(f"select '{c}' as \"column\", count(*) as n_rows, count(*) - count({c}) as n_null, cast(min({c}) as varchar) as least, cast(max({c}) as varchar) as greatest from user_dimension" for c in ("id", "tenant_id", "hr_user_account_state_type_id", "preferences")))
+def table_statistics(spark, sf):
+    return mapping.statistics(table(spark, sf, "user_dimension").select("id", "tenant_id", "hr_user_account_state_type_id", "preferences")).drop("n_distinct")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -19,7 +19,7 @@ def test_all_rows_are_loaded_or_rejected(spark, data):
         tenants[r.tenant_id].append((r.id, r.start_at, r.end_at, r.version))
         zone[r.tenant_id] = max(filter(None, (zone.get(r.tenant_id), r.time_zone)), default=None)
         names[r.id] = r.tenant_id
-    for r in problems._versions(spark, data).collect():
+    for r in problems._versions(spark, data, "id").collect():
         users[r.tenant_id, r.user_id].append((r.id, r.valid_from, r.valid_to, r.version))
     for r in read("feature_type"):
         features[r.name] = r.id
