@@ -109,11 +109,12 @@ def last_known(events: DataFrame, changes: DataFrame, *, entity: str, time: str,
         return found
     theirs = changes.join(hot, F.col("e") == F.col("hot"), "left_semi").withColumn("b", F.floor(F.col("at") / bucket_us))
     ends = theirs.groupBy("e", "b").agg(*[F.max(F.when(F.col(c).isNotNull(), F.struct(F.col("at").alias("t"), F.col(c).alias("x")))).alias(c) for c in names])
-    # An entity's buckets are the days of its changes; events belong to the last one begun, and are told apart by salt.
+    # An entity's buckets are the days of its changes; events belong to the last one begun, and are told apart by salt. What is
+    # carried over comes before any change at a bucket's first moment.
     upto = Window.partitionBy("e").orderBy("b")
     spans = ends.select("e", "b", *[F.max(c).over(upto.rowsBetween(Window.unboundedPreceding, -1)).alias(c) for c in names])
     each = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s")
-    starts = spans.select("e", "b", each, (F.col("b") * bucket_us).alias("at"), *[F.col(c)["x"].alias(c) for c in names])
+    starts = spans.select("e", "b", each, (F.col("b") * bucket_us - 1).alias("at"), *[F.col(c)["x"].alias(c) for c in names])
     inside = theirs.select("e", "b", each, "at", *names)
     mine = events.join(hot, col(entity) == F.col("hot"), "left_semi").select(col(entity).alias("he"), at.alias("at"), body.alias("event"))
     days = spans.groupBy(F.col("e").alias("de")).agg(F.array_sort(F.collect_list("b")).alias("days"))  # at most one per day of a hot entity

@@ -36,6 +36,13 @@ def test_histories_hold_changes_only(spark):
     assert said == [(5, "a"), ("-", "b"), (6, "-")]  # the late row was never the newest known
 
 
+def test_changes_at_the_first_moment_of_a_bucket(spark):
+    rows = [(1, T0 + timedelta(days=i), T0, i, i, None) for i in range(6)]
+    e = spark.createDataFrame([(1, T0 + timedelta(days=i, hours=h)) for i in range(8) for h in (0, 5)], "u long, t timestamp_ntz")
+    got = known_at(e, spark.createDataFrame(rows, H), **ARGS, attributes=["state"], large=0, salts=2).collect()
+    assert len(got) == 16 and all(r.known_state == min((r.t - T0).days, 5) for r in got)
+
+
 def test_empty_sides_and_clashing_names(spark):
     e = spark.createDataFrame([(1, T0, "x")], "u long, t timestamp_ntz, event string")
     none = known_at(e, spark.createDataFrame([], H), **ARGS, attributes=["state"]).collect()
